@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, ngram_quality, packing
+from . import exact_dedup, jaccard_join, ngram_quality, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text", "n_entities")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_pii_surrogates": op2_pii_surrogates,
         "op4_quality_rules": op4_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
