@@ -11,7 +11,9 @@ equal bins. Spark then ranks the pieces of each length and looks up their bin an
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,40 +23,77 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, groups_by_bytes, text_bytes
+from .textkit import LOWERED
 
 SIZE = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps; beyond it the store starts anew, so memory stays bounded.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 #: Pieces of one length that one task ranks.
 RANKED = 1_000_000
 
 Run = tuple[list[tuple[int, int]], int]
 
 
+def shown_bytes() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable Latin-1 characters as they are, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+SHOWN = shown_bytes()
+
+
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, encoding each different word once.
 
-    The vocabulary's rules never join text across ASCII white space, so a text's ids are those of
-    its white-space separated words, one after another; tests compare this with whole texts.
+    The vocabulary's rules fold A-Z, never join text across ASCII white space, and always part a
+    letter from punctuation that follows. So a text's ids are those of its white-space separated
+    words in lower case, and a word's those of its stem and of its trailing punctuation; tests
+    compare this with whole texts. A text that may spell a special token is not folded.
     """
 
+    TRAILING = b".,;:!?#$%&*+-/=@^_~()[]{}|<>"
+
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.ids = Tokenizer.from_file(path), kept, {}
 
+    def learn(self, words: list[bytes]) -> None:
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                # letters only, nothing to normalise: one pre-token, which goes to the model as it is
+                self.ids[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(SHOWN))]).tobytes()
+            else:
+                rest.append((w, text))
+        for (w, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
+            self.ids[w] = array("I", e.ids).tobytes()
+
+    def stem(self, word: bytes) -> bytes:
+        """The word without trailing punctuation where that parts from it in any case, else the word."""
+        out = word.rstrip(self.TRAILING)
+        if out == word or not out or b"'" in word or b"<|" in word or not out.decode("utf-8", "replace")[-1].isalpha():
+            return word
+        return out
+
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in self.ids]
+        words = (text if b"<|" in text else text.translate(LOWERED)).split()
+        new = {w for w in words if w not in self.ids}
         if new:
             if len(self.ids) > self.kept:
                 self.ids.clear()
-                new = list(set(words))
-            texts = [w.decode("utf-8", "replace") for w in new]
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.ids.__getitem__, words))
+                new = set(words)
+            stems = {w: self.stem(w) for w in new}
+            parts = {*stems.values(), *(w[len(x) :] for w, x in stems.items() if x is not w)}
+            self.learn([p for p in parts if p and p not in self.ids])
+            for w, x in stems.items():
+                if w not in self.ids:
+                    self.ids[w] = self.ids[x] + self.ids[w[len(x) :]]
+        return b"".join([self.ids[w] for w in words])
 
 
 _encoders: dict[str, WordIds] = {}
