@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, ngram_quality, packing, pii
+from . import exact_dedup, fixity, jaccard_join, line_dedup, ngram_quality, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text", "n_entities")
 
 
+def op3_merkle_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.drill(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,11 +46,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_pii_surrogates": op2_pii_surrogates,
+        "op3_merkle_fixity_audit": op3_merkle_fixity_audit,
         "op4_quality_rules": op4_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op3_merkle_fixity_audit": fixity.SQL, "op1_ngram_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL}
