@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fixity, jaccard_join, line_dedup, ngram_quality, packing, pii
+from . import exact_dedup, fixity, jaccard_join, line_dedup, ngram_quality, packing, pii, piece_transducer, wrapper_induction
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
@@ -48,7 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii_surrogates": op2_pii_surrogates,
         "op3_merkle_fixity_audit": op3_merkle_fixity_audit,
         "op4_quality_rules": op4_quality_rules,
+        "op5_piece_transducer": op5_piece_transducer,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_wrapper_induction": op7_wrapper_induction,
         "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
