@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_gram(gram: pd.Series, right: pd.Series) -> pd.Series:
     """Solutions of the systems (Gram matrix by rows, right side); NULL for singular or incomplete ones."""
     out = pd.Series([None] * len(gram), dtype=object)

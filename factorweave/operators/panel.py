@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_ASSET = Window.partitionBy("asset").orderBy("date")
-BY_DATE = Window.partitionBy("date")
+
+def by_asset():
+    return Window.partitionBy("asset").orderBy("date")
 
 
 def resample(prices: DataFrame, freq: str = "month", how: str = "last") -> DataFrame:
@@ -34,11 +35,11 @@ def returns(prices: DataFrame, kind: str = "simple", step: Column | None = None)
     step is the longest distance in days that counts as one period; over a longer gap the return is
     NULL. Without it a gap gives a return over several periods.
     """
-    before = F.lag("price").over(BY_ASSET)
+    before = F.lag("price").over(by_asset())
     ratio = F.try_divide(F.col("price"), before)
     value = F.log(ratio) if kind == "log" else ratio - 1
     if step is not None:
-        value = F.when(F.date_diff("date", F.lag("date").over(BY_ASSET)) <= step, value)
+        value = F.when(F.date_diff("date", F.lag("date").over(by_asset())) <= step, value)
     told = prices.withColumn("_first", before.isNull()).withColumn("ret", value)
     return told.where(~F.col("_first")).select("asset", "date", "ret")
 
@@ -92,7 +93,7 @@ def market_factor(rets: DataFrame, weight: str | None = None) -> DataFrame:
 
 def sorted_portfolios(df: DataFrame, column: str, k: int) -> DataFrame:
     """(date, bucket, n, ret): each date's assets in k buckets by column, ties by asset, and their mean return."""
-    bucket = F.ntile(k).over(BY_DATE.orderBy(column, "asset"))
+    bucket = F.ntile(k).over(Window.partitionBy("date").orderBy(column, "asset"))
     held = df.where(F.col(column).isNotNull() & F.col("ret").isNotNull())
     return held.withColumn("bucket", bucket).groupBy("date", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("ret"))
 
@@ -105,7 +106,7 @@ def long_short(portfolios: DataFrame, name: str = "spread") -> DataFrame:
 
 def momentum(rets: DataFrame, far: int, near: int) -> DataFrame:
     """rets with the compounded return from ``far`` to ``near`` periods ago; NULL until the window is full."""
-    window = BY_ASSET.rowsBetween(-far, -near)
+    window = by_asset().rowsBetween(-far, -near)
     full = F.count("ret").over(window) == far - near + 1
     return rets.withColumn("mom", F.when(full, F.expm1(F.sum(F.log1p("ret")).over(window))))
 
