@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +30,17 @@ def text_bytes(name: str = "text") -> Column:
     return F.col(name).cast("string").cast("binary")
 
 
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one struct column ``row``, so that no name of its columns can clash, and more columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in more.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that boxed() put away, some of them changed or added."""
+    kept = [changed.pop(c, F.col("row")[c]).alias(c) for c in columns]
+    return rows.select(*kept, *[v.alias(k) for k, v in changed.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,12 +59,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files and checkpoints of jobs whose results are no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again; the folder goes when the driver ends."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, whole_text
+from .common import ascii_lower, boxed, checkpointed, unboxed, whole_text
 
 SALTS = 16
 
@@ -75,10 +75,10 @@ def dedup_report(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFram
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and text, one."""
-    kept = dedup_report(docs, salts).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    named = docs.withColumn("_sha", F.sha2(ascii_lower(whole_text()), 256))
-    same = named["doc_id"].eqNullSafe(kept["_kept_id"]) & (named["_sha"] == kept["_kept_sha"])
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    kept = dedup_report(docs, salts).where("kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
+    rows = boxed(docs, id=F.col("doc_id"), own=F.sha2(ascii_lower(whole_text()), 256))
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["own"] == kept["sha"]), "left_semi")
+    return unboxed(stay.dropDuplicates(["id", "own"]), docs.columns)
 
 
 SQL = """

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, checkpointed
+from .common import LOWER, UPPER, boxed, checkpointed, unboxed
 
 KEY = "surrogates"
 # Titles before names, by gender.
@@ -247,18 +247,18 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     held = checkpointed(occurrences(docs))
     moved = checkpointed(attempts_table(held.select("kind", "canonical").distinct(), key))
     none = F.create_map().cast("map<string,int>")
-    rows = docs.withColumn("_found", matches(F.col("text")))
+    rows = boxed(docs, id=F.col("doc_id"), text=F.col("text"), found=matches(F.col("text")))
     if moved.isEmpty():
-        rows = rows.withColumn("_attempts", none)
+        rows = rows.withColumn("attempts", none)
     else:
         entry = F.struct(F.concat_ws("|", "kind", "canonical"), "attempt")
-        of_doc = held.join(moved, ["kind", "canonical"]).groupBy(F.col("doc_id").alias("_id")).agg(F.map_from_entries(F.collect_list(entry)).alias("_attempts"))
-        rows = rows.join(of_doc, rows["doc_id"].eqNullSafe(of_doc["_id"]), "left").drop("_id").withColumn("_attempts", F.coalesce("_attempts", none))
-    count = F.coalesce(F.when(F.size("_found") > 0, F.size("_found")), F.lit(0))
-    gaps, new = F.split("text", ANY, -1), F.transform("_found", lambda m: replacement(key, m, F.col("_attempts")))
+        of_doc = held.join(moved, ["kind", "canonical"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("told"))
+        rows = rows.join(of_doc, rows["id"].eqNullSafe(of_doc["doc_id"]), "left").withColumn("attempts", F.coalesce("told", none))
+    count = F.coalesce(F.when(F.size("found") > 0, F.size("found")), F.lit(0))
+    gaps, new = F.split("text", ANY, -1), F.transform("found", lambda m: replacement(key, m, F.col("attempts")))
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
-    rows = rows.withColumn("n_entities", count)
-    return rows.withColumn("text", F.when(F.col("n_entities") > 0, joined).otherwise(F.col("text"))).drop("_attempts", "_found")
+    rows = rows.withColumn("n", count)
+    return unboxed(rows, docs.columns, text=F.when(F.col("n") > 0, joined).otherwise(F.col("text")), n_entities=F.col("n"))
 
 
 def surrogate_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
