@@ -8,7 +8,8 @@ class from the start), every component of pairs with Jaccard similarity of at le
 2. *Pruning.* In any fixed order of shingles, two similar sets x and y share at least
    min(l_x, l_y) of the first |x| - ceil(0.8 |x|) + l_x and so on. In hash order, which needs no
    counting, only those first shingles are shuffled, and classes too few of whose shingles occur
-   in another class are out. What is left has a similar set or nearly so.
+   in another class are out. A second turn with longer prefixes, over the classes left, leaves few
+   that have no similar set.
 3. *Global order.* The shingles left are counted, and ordered by frequency and hash. Shingles of
    one class overlap with nothing and are cut away.
 4. *Vertical partitioning.* Quantiles of that order cut it, and with it every set, into fragments.
@@ -29,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, groups_by_bytes, text_bytes
+from .common import checkpointed, groups_by_bytes, text_bytes, written
 from .components import components
 from .textkit import LOWERED, hashed_words, mixed, windows
 
 WIDTH = 5
 FRAGMENTS = 8
-#: Share of a set by which the prefixes of step 2 are longer than the least needed.
-EXTRA = 0.05
+#: By which share of the set, in percent, the prefixes of step 2 are longer than the least needed: over all sets, then over those left.
+EXTRA = (3, 30)
+#: Classes left by step 2 (three longs each) up to which their table is broadcast to find their texts; beyond it both are shuffled.
+BROADCAST_CLASSES = 2_000_000
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
@@ -87,22 +90,21 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, text_bytes().alias("text"))
 
 
-def first_shingles(docs: DataFrame) -> DataFrame:
-    """Rows (shingle, a, least): the first shingles of each set in hash order; least is how many of them a set with a similar one shares."""
+def first_shingles(docs: DataFrame, extra: int) -> DataFrame:
+    """Rows (shingle, a): the first shingles of each set in hash order, extra percent of the set more than needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups_by_bytes(batches, "text"):
             hashes, ends = shingle_sets(part.column("text").to_pylist())
             n = np.diff(ends)
-            more = lambda size: np.maximum(1, (size * EXTRA).astype(np.int64))
-            first = np.minimum(n, n - need_of_size(n) + more(n))
+            first = np.minimum(n, n - need_of_size(n) + np.maximum(1, n * extra // 100))
             owner = np.repeat(np.arange(len(n)), n)
             inside = np.arange(len(hashes)) - ends[:-1][owner] < first[owner]
             owner = owner[inside]
-            a, least = signatures(hashes, ends)[0], more(need_of_size(n))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[inside].view(np.int64)), pa.array(a[owner]), pa.array(least[owner].astype(np.int32))], ["shingle", "a", "least"])
+            a = signatures(hashes, ends)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[inside].view(np.int64)), pa.array(a[owner])], ["shingle", "a"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(run, "shingle long, a long, least int")
+    return docs.select(text_bytes().alias("text")).mapInArrow(run, "shingle long, a long")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -131,19 +133,26 @@ def need_of_pair(n: Column, other: Column) -> Column:
     return F.floor((4 * (n + other) + 8) / 9)
 
 
-def likely_classes(docs: DataFrame) -> DataFrame:
-    """Rows (a): classes that step 2 leaves in."""
-    rows = first_shingles(docs)
+def likely_classes(docs: DataFrame, classes: DataFrame, extra: int) -> DataFrame:
+    """The rows of classes (a, b, doc_id, n) that step 2 leaves in."""
+    rows = first_shingles(docs, extra)
     shared = rows.groupBy("shingle").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("shingle")
-    held = rows.join(shared.hint("shuffle_hash"), "shingle", "left_semi").distinct()
-    return held.groupBy("a").agg(F.count(F.lit(1)).alias("held"), F.max("least").alias("least")).where("held >= least").select("a")
+    held = rows.join(shared.hint("shuffle_hash"), "shingle", "left_semi").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+    least = F.greatest(F.lit(1), F.floor(need("n") * extra / 100))
+    return classes.join(held, "a").where(F.col("held") >= least).drop("held")
+
+
+def texts_of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (doc_id, a, b, text): one document of each class, its table broadcast if counted as small enough."""
+    near = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
+    return docs.select("doc_id", "text").join(near, "doc_id").select("doc_id", "a", "b", "text")
 
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
     """Rows (rid, n, held): held has (df, shingle) of the shingles with df > 1 in the global order; sets with too few of them are left out."""
     frequent = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = sets.join(frequent, "shingle")
-    held = rows.groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    rows = sets.join(frequent.hint("shuffle_hash"), "shingle")
+    held = rows.groupBy("rid", "n").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("held"))
     return held.where(F.size("held") >= need("n"))
 
 
@@ -196,7 +205,7 @@ def pair_columns(x: str, y: str) -> list[Column]:
 
 def class_links(ordered: DataFrame) -> DataFrame:
     """Rows (u, v) of components of the sets: two passes of links."""
-    cut, rows = checkpointed(fragments(ordered)), checkpointed(prefix_rows(ordered))
+    cut, rows = written(fragments(ordered), "fragments"), checkpointed(prefix_rows(ordered))
     hubs = rows.groupBy("shingle").agg(F.min_by(F.struct("rid", "n", "rest"), "rid").alias("hub")).select("shingle", "hub.*")
     x, y = rows.alias("x"), hubs.alias("y")
     near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rid") != F.col("y.rid")) & bounded("x", "y"))
@@ -224,10 +233,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     apart by 64-bit hashes and sets by 128-bit sums of them.
     """
     sets = checkpointed(set_rows(docs))
-    classes = sets.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rid"))
-    likely = classes.where("rid is not null").join(likely_classes(docs), "a", "left_semi")
-    chosen = docs.select("doc_id", "text").join(likely.withColumnRenamed("rid", "doc_id"), "doc_id").dropDuplicates(["doc_id", "a", "b", "text"])
-    found = class_links(checkpointed(ordered_sets(full_sets(chosen))))
+    classes = sets.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rid"), F.max("n_shingles").alias("n"))
+    likely, chosen = classes.where("rid is not null").withColumnRenamed("rid", "doc_id"), docs
+    for extra in EXTRA:
+        likely = checkpointed(likely_classes(chosen, likely, extra))
+        chosen = texts_of_classes(docs, likely)
+    found = class_links(written(ordered_sets(full_sets(chosen)), "sets"))
     merged = classes.join(found.select(F.col("u").alias("rid"), "v"), "rid", "left").select("a", "b", F.coalesce("v", "rid").alias("component_id"))
     linked = sets.where("n_shingles > 0").join(merged, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
