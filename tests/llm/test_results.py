@@ -238,33 +238,37 @@ def test_lm_base_and_gradients(docs, texts):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (r["doc_id"] not in training, len(own) + 1, total)
         assert r["n_known"] == 1 + sum(counts[w] > 0 for w in own)
         assert math.isclose(r["base_score"], sum(log(counts[w]) for w in own) + log(len(training)), rel_tol=1e-9)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def codes(rng, n):
+    return rng.integers(0, attention.INPUTS, n) | rng.integers(0, attention.INPUTS, n) << 16 | rng.integers(0, attention.END, n) << 32
+
+
+def test_lm_gradients():
     rng = np.random.default_rng(0)
-    ids = attention.Vocabulary(rng.integers(0, 50, 3000).astype(float))
-    p = {k: v.astype(float) for k, v in attention.fresh(ids).items()}
-    x, y, begins, _ = attention.blocked([rng.integers(0, 2990, n).astype(np.int32) for n in (5, 40, 0)], ids)
-    _, g = attention.gradients(p, ids, x, y, begins)
+    p = {k: v.astype(float) for k, v in attention.fresh(rng.random(attention.OUTPUTS)).items()}
+    x, y, begins, _ = attention.blocked([codes(rng, n) for n in (5, 40, 0)])
+    _, g = attention.gradients(p, x, y, begins)
     for k in p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         old, two = p[k][at], []
         for e in (1e-4, -1e-4):
             p[k][at] = old + e
-            two.append(attention.gradients(p, ids, x, y, begins)[0])
+            two.append(attention.gradients(p, x, y, begins)[0])
         p[k][at] = old
         assert math.isclose((two[0] - two[1]) / 2e-4, g[k][at], rel_tol=2e-3, abs_tol=1e-7), k
 
 
 def test_lm_probabilities_sum_to_one_and_do_not_see_ahead():
     rng = np.random.default_rng(0)
-    ids = attention.Vocabulary(rng.integers(0, 50, 400).astype(float))
-    p = attention.fresh(ids)
-    text = rng.integers(0, 398, 50).astype(np.int32)
-    x, y, begins, _ = attention.blocked([text], ids)
-    whole = attention.log_probabilities(p, ids, x, y, begins).ravel()[:51]
-    cut = attention.log_probabilities(p, ids, *attention.blocked([text[:20]], ids)[:3]).ravel()[:20]
+    p, text = attention.fresh(rng.random(attention.OUTPUTS)), codes(rng, 50)
+    x, y, begins, _ = attention.blocked([text])
+    whole = attention.log_probabilities(p, x, y, begins).ravel()[:51]
+    cut = attention.log_probabilities(p, *attention.blocked([text[:20]])[:3]).ravel()[:20]
     assert np.allclose(whole[:20], cut, atol=1e-4)
-    total = np.zeros(x.shape)
-    for i in range(400):
-        total += np.exp(attention.log_probabilities(p, ids, x, np.full_like(y, i), begins))
+    total = sum(np.exp(attention.log_probabilities(p, x, np.full_like(y, i), begins)) for i in range(attention.OUTPUTS))
     assert np.allclose(total.ravel()[:51], 1, atol=1e-3)
 
 
