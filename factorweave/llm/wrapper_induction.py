@@ -9,7 +9,8 @@ their tag or class says that they are a menu, a notice, an advert and the like.
 article or main element, its content is what stands in there.
 
 Pages never meet in one task: alignment is page by page against a reference that a join on the host
-brings, broadcast by Spark where it measures the table as small and shuffled otherwise.
+brings. The references are written first, so Spark knows their size before it plans the join: it
+broadcasts them below its threshold and shuffles beyond it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, groups_by_bytes
+from .common import groups_by_bytes, written
 
 # HTML elements by what they mean here.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -250,7 +251,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 def references(rows: DataFrame) -> DataFrame:
     """Rows (host, tree): the folded tree of one page of each host, picked by a hash of its id."""
     chosen = rows.where("html is not null").groupBy("host").agg(F.min(F.struct(F.xxhash64("page_id").alias("k"), F.col("page_id").alias("page_id"))).alias("c"))
-    picked = chosen.select(F.col("host").alias("_host"), F.col("c.page_id").alias("_id"))
+    picked = written(chosen.select(F.col("host").alias("_host"), F.col("c.page_id").alias("_id")), "picked")
     found = rows.join(picked, (rows["host"] == picked["_host"]) & (rows["page_id"] == picked["_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +288,7 @@ def slot_counts(rows: DataFrame, trees: DataFrame) -> DataFrame:
 
 def templates(rows: DataFrame) -> DataFrame:
     """Rows (host, template): JSON of the reference's tree and the numbers of its constant nodes."""
-    trees = checkpointed(references(rows))
+    trees = written(references(rows), "trees")
     counts = slot_counts(rows, trees)
     share = counts.withColumn("share", F.col("texts") / F.col("pages"))
     most = share.groupBy("host").agg(F.max("share").alias("most"))
@@ -307,7 +308,7 @@ def extract(pages: DataFrame) -> DataFrame:
     U+FFFD. Whole pages are read; nothing but asides, template nodes and markup is dropped.
     """
     rows = with_host(pages)
-    told = rows.join(checkpointed(templates(rows)), "host", "left")
+    told = rows.join(written(templates(rows), "templates"), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read: dict[str, dict] = {}
