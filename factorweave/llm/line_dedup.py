@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, whole_text
+from .common import boxed, checkpointed, unboxed, whole_text
 
 MIN_WORDS = 50
 PLACE = ["d", "h", "pos"]
@@ -37,13 +37,9 @@ def document_id() -> Column:
 
 
 def ranked(values: DataFrame, columns: list[str]) -> DataFrame:
-    """values with a column rank: their place in the order of columns, by a range sort and the partitions' sizes."""
-    dealt = checkpointed(values.repartitionByRange(*columns).withColumn("_p", F.spark_partition_id()))
-    sizes = dealt.groupBy("_p").count()  # one row a partition
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("_p", before.alias("_before")))
-    row = F.row_number().over(Window.partitionBy("_p").orderBy(*columns))
-    return dealt.withColumn("_row", row).join(offsets, "_p").withColumn("rank", F.col("_before") + F.col("_row")).drop("_p", "_before", "_row")
+    """values with a column rank that orders them by columns: after a range sort, the partition's number and the row's in it."""
+    ordered = values.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return checkpointed(ordered.withColumn("rank", F.monotonically_increasing_id()))
 
 
 def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -60,7 +56,7 @@ def doubling(lines: DataFrame) -> list[DataFrame]:
     while not levels[-1].isEmpty():
         step = 1 << len(levels) - 1
         ahead = levels[-1].select("d", "h", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = checkpointed(levels[-1].join(ahead, PLACE))
+        pairs = levels[-1].join(ahead, PLACE)
         named = ranked(repeated(pairs, ["rank", "next"]).withColumnRenamed("rank", "first"), ["first", "next"])
         level = pairs.withColumnRenamed("rank", "first").join(named, ["first", "next"]).select(*PLACE, "rank")
         levels.append(checkpointed(level))
@@ -102,7 +98,8 @@ def run_lengths(copies: DataFrame, levels: list[DataFrame]) -> DataFrame:
         out = out.join(here, ["d", "h", "at"], "left").join(there, ["d0", "h0", "at0"], "left")
         same = F.coalesce(F.col("rank_here") == F.col("rank_there"), F.lit(False))
         out = out.withColumn("length", F.col("length") + F.when(same, 1 << k).otherwise(0)).drop("at", "at0", "rank_here", "rank_there")
-        out = checkpointed(out)
+        if k % 3 == 0:
+            out = checkpointed(out)
     return out
 
 
@@ -127,10 +124,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     replaced. An empty table gives an empty result.
     """
     gone = checkpointed(deleted_lines(docs, min_words))
-    rows = docs.withColumn("_d", document_id()).withColumn("_h", F.xxhash64(whole_text()))
-    rows = rows.join(gone, (F.col("_d") == gone["d"]) & (F.col("_h") == gone["h"]), "left").drop("d", "h", "_d", "_h")
+    rows = boxed(docs, _d=document_id(), _h=F.xxhash64(whole_text()), text=F.col("text"))
+    rows = rows.join(gone, (rows["_d"] == gone["d"]) & (rows["_h"] == gone["h"]), "left")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    rows = rows.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)))
-    rows = rows.withColumn("n_deleted", F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0))
-    return rows.withColumn("text", F.when(F.col("n_deleted") > 0, left).otherwise(F.col("text"))).drop("gone")
+    deleted = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0)
+    count = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
+    text = F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text"))
+    return unboxed(rows, docs.columns, text=text, n_lines=count, n_deleted=deleted)
