@@ -33,8 +33,8 @@ from .common import groups_by_bytes, text_bytes
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
-#: Stretches and pairs of pieces whose solutions a Python worker keeps; beyond it the store starts anew.
-KEPT = 400_000
+#: Words, stretches and pairs of pieces whose solutions a Python worker keeps; beyond it the store starts anew.
+KEPT = 500_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -68,7 +68,7 @@ class Transducer:
     def __init__(self, data: bytes, kept: int = KEPT):
         import struct
 
-        self.kept, self.solved, self.joined = kept, {}, {}
+        self.kept, self.words, self.solved, self.joined = kept, {}, {}, {}
         self.pieces: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -96,7 +96,7 @@ class Transducer:
                 self.prefix = bool(spec.get(3, 1))
         if kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {kind} is neither unigram nor BPE")
-        self.bpe, self.longest = kind == BPE, max(map(len, self.ids))
+        self.bpe = kind == BPE
         self.letters = frozenset("".join(self.ids))
         # a piece has the mark at its start only, so a mark after another character begins a new stretch
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -107,7 +107,15 @@ class Transducer:
         line = "" if "\n" in self.letters else "\n"
         first = f"[{ends}]*" if ends else ""
         self.stretches = re.compile(f"{MARK}*{first}[^{MARK}{ends}{line}]+|{MARK}*[{ends}]+|{MARK}+|\n" if ends else f"{MARK}*[^{MARK}{line}]+|{MARK}+|\n")
-        self.prefixes = frozenset(p[:n] for p in self.ids for n in range(1, len(p) + 1))
+        self.unknown = len(self.pieces)  # the id of any character without a piece; one more stands for the start
+        self.names = {i: p for p, i in self.ids.items()} | {self.unknown: "\0", self.unknown + 1: ""}
+        self.scores = {i: self.score[p] for p, i in self.ids.items()} | {self.unknown: -1e6}
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best-scored adjacent pair first, the leftmost of equals."""
@@ -122,67 +130,86 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def weight(self, last: str, piece: str) -> float:
-        """The weight of the arc that reads piece after last."""
+    def weight(self, last: int, piece: int) -> float:
+        """The weight of the arc that reads a piece after last; both are ids, or START or the unknown character's."""
         if not self.bpe:
-            return -self.score.get(piece, -1e6)
-        key = (last, piece)
-        found = self.joined.get(key)
-        if found is None:
-            if len(self.joined) > self.kept:
-                self.joined.clear()
-            found = 0.0 if self.merge(last + piece) == ([last, piece] if last else [piece]) else math.inf
-            self.joined[key] = found
-        return found
-
-    def shortest(self, text: str) -> list[str]:
-        """The pieces of a stretch: composition with its lattice and the shortest path through it."""
-        ids, prefixes, joined, weight = self.ids, self.prefixes, self.joined, self.weight
-        size = len(text)
-        distance, last, back = [0.0] + [math.inf] * size, [""] * (size + 1), [0] * (size + 1)
+            return -self.scores[piece]
+        if piece == self.unknown:
+            return 0.0
+        before, text = self.names[last], self.names[piece]
+        return 0.0 if self.merge(before + text) == ([before, text] if before else [text]) else math.inf
+
+    def shortest(self, text: str) -> list[tuple[int, int]]:
+        """The pieces of a stretch as (id, end): composition with its lattice, arc by arc along the trie, and the shortest path."""
+        root, joined, size, many = self.trie, self.joined, len(text), self.unknown + 2
+        distance, last, back = [0.0] + [math.inf] * size, [self.unknown + 1] * (size + 1), [0] * (size + 1)
         for begin in range(size):
-            so_far, before = distance[begin], last[begin]
+            so_far = distance[begin]
             if so_far == math.inf:
                 continue
-            for end in range(begin + 1, size + 1):
-                piece = text[begin:end]
-                if piece in ids or end - begin == 1:  # a single character can always be read, as bytes if need be
-                    if so_far < distance[end] or not self.bpe:
-                        arc = joined.get((before, piece))
-                        d = so_far + (weight(before, piece) if arc is None else arc)
-                        if d < distance[end]:
-                            distance[end], last[end], back[end] = d, piece, begin
-                if piece not in prefixes:
+            before, node, end = last[begin], root, begin
+            base = before * many
+            while end < size:
+                node = node.get(text[end])
+                end += 1
+                if node is None:
                     break
-        out, at = [], len(text)
+                piece = node.get("")
+                if piece is not None and so_far < distance[end]:
+                    arc = joined.get(base + piece)
+                    if arc is None:
+                        arc = joined[base + piece] = self.weight(before, piece)
+                    if so_far + arc < distance[end]:
+                        distance[end], last[end], back[end] = so_far + arc, piece, begin
+            if text[begin] not in self.ids:  # it can still be read, as bytes
+                d = so_far + self.weight(before, self.unknown)
+                if d < distance[begin + 1]:
+                    distance[begin + 1], last[begin + 1], back[begin + 1] = d, self.unknown, begin
+        out, at = [], size
         while at:
-            out.append(last[at])
+            out.append((last[at], at))
             at = back[at]
         return out[::-1]
 
     def solve(self, stretch: str) -> bytes:
         ids = array("I")
-        for piece in self.shortest(stretch):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
+        for piece, end in self.shortest(stretch):
+            if piece == self.unknown:
+                ids.extend(self.byte_ids[b] for b in stretch[end - 1].encode("utf-8", "replace"))
             else:
-                ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
+                ids.append(piece)
         return ids.tobytes()
 
-    def encode(self, text: str) -> array:
-        """The ids of a text; none for the empty text."""
-        if not text:
-            return array("I")
-        parts = self.stretches.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+    def solve_all(self, parts: list[str]) -> bytes:
+        """The ids of stretches that stand one after another."""
         solved = self.solved
-        new = {p for p in parts if p not in solved}
+        new = set(parts).difference(solved)
         if new:
             if len(solved) > self.kept:
                 solved.clear()
                 new = set(parts)
+            if len(self.joined) > self.kept:
+                self.joined.clear()
             for p in new:
                 solved[p] = self.solve(p)
-        return array("I", b"".join([solved[p] for p in parts]))
+        return b"".join(map(solved.__getitem__, parts))
+
+    def encode(self, text: str) -> array:
+        """The ids of a text; none for the empty text."""
+        if not text:
+            return array("I")
+        if not self.prefix or "  " in text or text[0] == " " or MARK in text:
+            return array("I", self.solve_all(self.stretches.findall((MARK if self.prefix else "") + text.replace(" ", MARK))))
+        # single spaces only: each word with its mark is made of whole stretches, and words recur
+        words, known = text.split(" "), self.words
+        new = set(words).difference(known)
+        if new:
+            if len(known) > self.kept:
+                known.clear()
+                new = set(words)
+            for w in new:
+                known[w] = self.solve_all(self.stretches.findall(MARK + w))
+        return array("I", b"".join(map(known.__getitem__, words)))
 
     def decode(self, ids) -> str:
         """The text of ids; the dummy prefix goes."""
