@@ -272,6 +272,20 @@ def test_lm_probabilities_sum_to_one_and_do_not_see_ahead():
     assert np.allclose(total.ravel()[:51], 1, atol=1e-3)
 
 
+def test_lm_trains_on_every_word_and_end_once():
+    rng = np.random.default_rng(0)
+    texts = [codes(rng, n) for n in (0, 5, 31, 32, 70, 3 * lm_scoring.BATCH * attention.STRIDE + 40, 16)]
+    p, (x, y, begins, _) = attention.fresh(rng.random(attention.OUTPUTS)), attention.blocked(texts)
+    steps = list(lm_scoring.steps_of(texts))
+    targets = np.concatenate([t.ravel() for _, t, _, _ in steps])
+    wanted = np.concatenate([np.append(t >> 32, attention.END) for t in texts])
+    assert targets[targets >= 0].tolist() == wanted.tolist()
+    assert sum(n for *_, n in steps) == len(x) and max(n for *_, n in steps) <= lm_scoring.BATCH
+    whole = attention.log_probabilities(p, x, y, begins)
+    parts = np.concatenate([attention.log_probabilities(p, *step[:3])[-step[3] :] for step in steps])
+    assert np.allclose(whole, parts, atol=1e-4)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("aB \t\né\x1c\xa0", max_size=20), max_size=6))
 def test_hashed_words_follow_the_word_rule(texts):
