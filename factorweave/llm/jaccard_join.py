@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, groups_by_bytes, text_bytes, written
+from .common import boxed, checkpointed, groups_by_bytes, text_bytes, unboxed, written
 from .components import components
 from .textkit import LOWERED, hashed_words, mixed, windows
 
@@ -245,9 +245,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest, with all columns; of repeated ids one row."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of similar documents the row with the smallest doc_id, with all its columns.
+
+    Rows are told apart by id and text together, through a 64-bit hash: different texts that share a
+    doc_id are different documents, rows that repeat both are one. A null doc_id is larger than any
+    other, and its document links like any other: it stays if no document of its component has an id,
+    one of several. Where texts of one component share the smallest id, the one with the least hash stays.
+    """
+    own = F.xxhash64(F.col("doc_id").cast("long"), text_bytes())
+    found = jaccard_components(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct()
+    ids = docs.select(own.alias("own"), F.col("doc_id").cast("long").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own"))
+    kept = ids.join(found, "own").groupBy("component_id").agg(first.alias("first")).select(F.col("first.own").alias("own"))
+    return unboxed(boxed(docs, own=own).join(kept, "own", "left_semi").dropDuplicates(["own"]), docs.columns)
 
 
 SQL = r"""

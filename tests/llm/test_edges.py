@@ -55,6 +55,15 @@ def test_defined_answers(rows):
         assert r["n_deleted"] == 0 and r["gone"] == "g"
 
 
+def test_one_per_component_with_null_and_shared_ids(spark):
+    base = [f"t{i}" for i in range(100)]
+    near, other, lone, pair = (" ".join(x) for x in ([*base[:99], "end"], [f"o{i}" for i in range(60)], [f"l{i}" for i in range(60)], [f"p{i}" for i in range(60)]))
+    base = " ".join(base)
+    rows = [(1, base), (5, near), (5, other), (5, other), (None, lone), (None, lone), (None, base), (None, ""), (7, pair), (None, pair + " end")]
+    kept = jaccard_join.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(1, base), (5, other), (0, lone), (0, ""), (7, pair)])
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, host string, text string"
     page = "<html><head><title>T</title></head><body><header>Top</header><div class='cookie-notice'>Cookies</div><main><h1>A &amp;\n B</h1><p>One <b>two</b><p>Three<br>four</main><div id=comments><p>No</p></div><form>f</form><script>var a='<p>x</p>'</script></body></html>"
