@@ -61,8 +61,9 @@ def attribution_rollup(attributed: DataFrame, groups: DataFrame) -> DataFrame:
 def pca_factors(rets: DataFrame, assets: list[str], k: int) -> DataFrame:
     """(component, share, asset, loading): the k leading components of dates on which all assets have returns.
 
-    Loadings have the sign that makes their sum positive. MLlib holds an assets x assets matrix on
-    the driver, so this is for a block of assets.
+    Loadings have the sign that makes their sum positive. MLlib sums the assets x assets Gram matrix
+    over the dates in Spark and decomposes it on the driver, and the plan has an aggregate per asset,
+    so this is for some hundred assets.
     """
     wide = rets.groupBy("date").agg(*[F.max(F.when(F.col("asset") == a, F.col("ret"))).alias(f"a{i}") for i, a in enumerate(assets)]).dropna()
     vectors = wide.select(array_to_vector(F.array(*[F.col(f"a{i}") for i in range(len(assets))])).alias("v"))

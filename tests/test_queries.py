@@ -53,6 +53,15 @@ def test_pca_explains_the_variance_that_numpy_finds(spark):
     assert np.allclose(found.groupby("component")["loading"].apply(lambda x: (x**2).sum()), 1)
 
 
+def test_pca_query_takes_all_assets(spark):
+    from factorweave.jobs import stand_in
+
+    rets = stand_in.monthly_returns(spark, DIR)
+    assets = {r["asset"] for r in rets.select("asset").distinct().collect()}
+    found = Q.QUERIES["p30_pca_factors"](spark, DIR).collect()
+    assert len(assets) == 25 and {(r["component"], r["asset"]) for r in found} == {(c, a) for c in (1, 2, 3) for a in assets}
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__
 
