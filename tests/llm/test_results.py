@@ -140,6 +140,28 @@ def test_quality_bands_keep_clean_and_reject_noise(spark, docs):
     assert sum(clean) >= 0.95 * len(clean) and not any(r["kept"] for r in report if r["doc_id"] >= 10_000)
 
 
+def test_quality_bands_are_of_each_language(spark, monkeypatch):
+    random.seed(3)
+    letters = {"ru": "оеаинтсрвл", "el": "αοιετσνηυρ", "it": "eaionlrtsc"}
+    words = {x: ["".join(random.choices(s, k=random.randint(2, 8))) for _ in range(size)] for (x, s), size in zip(letters.items(), (300, 20, 300))}
+    rows = [(f"{x} {i}", x, " ".join(random.choices(words[x], k=200))) for x, n in (("ru", 60), ("el", 12), ("it", 12)) for i in range(n)]
+    rows += [("rare", "xx", " ".join(random.choices(words["it"], k=200))), ("none", None, " ".join(random.choices(words["it"], k=200)))]
+    docs = spark.createDataFrame([(i, x, t) for i, (_, x, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    assert ngram_quality.languages(docs) == {"ru", "el", "it"}
+
+    def report():
+        return {rows[r["doc_id"]][0]: r for r in ngram_quality.quality_report(docs).collect()}
+
+    many = report()
+    bands = {x: {r["perplexity_upper"] for k, r in many.items() if k.startswith(x)} for x in letters}
+    assert all(len(b) == 1 for b in bands.values()) and len(set.union(*bands.values())) == 3
+    assert all(sum(r["kept"] for k, r in many.items() if k.startswith(x)) >= 0.9 * sum(k.startswith(x) for k in many) for x in letters)
+    assert many["rare"]["perplexity_upper"] == many["none"]["perplexity_upper"] not in set.union(*bands.values())
+    monkeypatch.setattr(ngram_quality, "DENSE_POOLS", 1)
+    few = report()
+    assert all(few[k]["kept"] == r["kept"] and math.isclose(few[k]["perplexity"], r["perplexity"], rel_tol=1e-6) for k, r in many.items())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60) | st.text("ab ÉéΣ'.,!<|>\n\t①́", max_size=40))
 def test_word_and_piece_ids_equal_the_libraries(text):
