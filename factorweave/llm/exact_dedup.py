@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, boxed, checkpointed, unboxed, whole_text
+from .common import ascii_lower, boxed, checkpointed, one_of_repeats, unboxed, whole_text
 
 SALTS = 16
 
@@ -29,6 +29,21 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def winners_of(rows: DataFrame, salts: int) -> DataFrame:
+    """Rows (_digest, _norm, _keep, _size) of rows (doc_id, _norm, _digest): each text's largest id and number of rows."""
+    salted = (
+        rows.withColumn("_salt", F.spark_partition_id() % salts)
+        .groupBy("_digest", "_salt", "_norm")
+        .agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    )
+    return salted.repartition("_digest").groupBy("_digest", "_norm").agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
+
+
+def normalised(docs: DataFrame, digest) -> DataFrame:
+    rows = docs.select("doc_id", ascii_lower(whole_text()).alias("_norm"))
+    return rows.withColumn("_digest", digest(F.col("_norm")))
+
+
 def dedup_report(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -38,18 +53,8 @@ def dedup_report(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFram
     other than doc_id and text are not read. An empty table gives an empty result. digest may be
     any function from a text column to a column; a weak one costs time, not correctness.
     """
-    rows = docs.select("doc_id", ascii_lower(whole_text()).alias("_norm"))
-    keyed = rows.withColumn("_digest", digest(F.col("_norm")))
-    salted = (
-        keyed.withColumn("_salt", F.spark_partition_id() % salts)
-        .groupBy("_digest", "_salt", "_norm")
-        .agg(F.max("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    )
-    winners = (
-        salted.repartition("_digest")
-        .groupBy("_digest", "_norm")
-        .agg(F.max("_keep").alias("_keep"), F.sum("_size").alias("_size"))
-    )
+    keyed = normalised(docs, digest)
+    winners = winners_of(keyed, salts)
     by_digest = checkpointed(
         winners.groupBy("_digest").agg(
             F.max("_keep").alias("_keep"), F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_texts")
@@ -74,11 +79,20 @@ def dedup_report(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFram
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat an id and text, one."""
-    kept = dedup_report(docs, salts).where("kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
-    rows = boxed(docs, id=F.col("doc_id"), own=F.sha2(ascii_lower(whole_text()), 256))
-    stay = rows.join(kept, rows["id"].eqNullSafe(kept["doc_id"]) & (rows["own"] == kept["sha"]), "left_semi")
-    return unboxed(stay.dropDuplicates(["id", "own"]), docs.columns)
+    """The rows of docs that stay, with all their columns: of equal texts the one with the largest doc_id.
+
+    A null doc_id is smaller than any other. Of rows that repeat an id and text, one stays, and of
+    equal texts without any id one too. Whole rows move once, to the narrow table of winners; rows
+    with that key meet again only if the counts of ids say that some repeat.
+    """
+    keyed = normalised(docs, sha256)
+    kept = checkpointed(winners_of(keyed, salts).select("_digest", "_keep", "_size"))
+    key = lambda digest, doc_id: F.struct(digest.alias("text"), doc_id.cast("string").alias("id"))
+    rows = boxed(docs, key=key(sha256(ascii_lower(whole_text())), F.col("doc_id")))
+    stay = kept.select(key(F.col("_digest"), F.col("_keep")).alias("_key"), "_size")
+    found = rows.join(stay.select("_key"), rows["key"].eqNullSafe(F.col("_key")), "left_semi")
+    of_groups = keyed.select(key(F.col("_digest"), F.col("doc_id")).alias("key")).join(stay.where("_size > 1").select(F.col("_key").alias("key")), "key", "left_semi")
+    return unboxed(one_of_repeats(found, checkpointed(of_groups.groupBy("key").count().where("count > 1").select("key"))), docs.columns)
 
 
 SQL = """
