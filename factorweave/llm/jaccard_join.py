@@ -16,9 +16,12 @@ class from the start), every component of pairs with Jaccard similarity of at le
    Candidates come from the prefix filter with length and position bounds; their partial overlaps
    are counted in each fragment separately and summed per pair, which gives the exact overlap.
 5. *Two passes.* A group of near copies has a quadratic number of pairs, all needless once its
-   members are known to belong together. So pass one only pairs each class with the smallest class
-   of each of its prefix shingles; the links found give components. Pass two pairs classes that
-   share a prefix shingle but not yet a component, all of them, so no component is missed.
+   members are known to belong together. So pass one pairs each class with at most ``PARTNERS``
+   others, found through a few hubs of each of its prefix shingles. Hubs are the classes with the
+   fewest shingles of their own: the middle of a group of near copies, similar to all that are
+   similar to any. The links found give components. Pass two pairs classes that share a prefix
+   shingle but not yet a component, all of them, so no component is missed; what is left for it are
+   the classes that look like members of a group and are not.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, checkpointed, groups_by_bytes, text_bytes, unboxed, written
+from .common import boxed, checkpointed, groups_by_bytes, one_of_repeats, text_bytes, unboxed, written
 from .components import components
 from .textkit import LOWERED, hashed_words, mixed, windows
 
@@ -38,8 +41,10 @@ WIDTH = 5
 FRAGMENTS = 8
 #: By which share of the set, in percent, the prefixes of step 2 are longer than the least needed: over all sets, then over those left.
 EXTRA = (3, 30)
-#: Classes left by step 2 (three longs each) up to which their table is broadcast to find their texts; beyond it both are shuffled.
+#: Classes left by step 2 (four longs each) up to which their table is broadcast to find their texts; beyond it both are shuffled.
 BROADCAST_CLASSES = 2_000_000
+#: Pass one: hubs of a shingle (half of them central, half by a hash), and partners of a class.
+HUBS, PARTNERS = 4, 8
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
@@ -74,23 +79,26 @@ def signatures(hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_shingles, a, b): size and class of each document's set."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, text): key tells documents apart by id and text, through a 64-bit hash."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_bytes()).alias("key"), text_bytes().alias("text"))
+
+
+def set_rows(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, n_shingles, a, b): size and class of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups_by_bytes(batches, "text"):
             hashes, ends = shingle_sets(part.column("text").to_pylist())
             a, b = signatures(hashes, ends)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "a", "b"])
-
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, a long, b long")
+            columns = [part.column("doc_id"), part.column("key"), pa.array(np.diff(ends)), pa.array(a), pa.array(b)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "a", "b"])
 
+    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, a long, b long")
 
-def texts_of(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, text_bytes().alias("text"))
 
-
-def first_shingles(docs: DataFrame, extra: int) -> DataFrame:
+def first_shingles(rows: DataFrame, extra: int) -> DataFrame:
     """Rows (shingle, a): the first shingles of each set in hash order, extra percent of the set more than needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +112,11 @@ def first_shingles(docs: DataFrame, extra: int) -> DataFrame:
             a = signatures(hashes, ends)[0]
             yield pa.RecordBatch.from_arrays([pa.array(hashes[inside].view(np.int64)), pa.array(a[owner])], ["shingle", "a"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(run, "shingle long, a long")
+    return rows.select("text").mapInArrow(run, "shingle long, a long")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """Rows (rid, n, shingle) of docs, which have columns a and b; rows of another class than that are left out."""
+def full_sets(rows: DataFrame) -> DataFrame:
+    """Rows (rid, n, shingle) of rows (a, b, text); rid is a, and texts of another class than that are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups_by_bytes(batches, "text"):
@@ -118,10 +126,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
             n = np.diff(ends)
             owner = np.repeat(np.arange(len(n)), n)
             keep = same[owner]
-            rid = part.column("doc_id").to_numpy(zero_copy_only=False)[owner][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.array(n[owner][keep]), pa.array(hashes[keep].view(np.int64))], ["rid", "n", "shingle"])
+            columns = [a[owner][keep], n[owner][keep], hashes[keep].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["rid", "n", "shingle"])
 
-    return texts_of(docs, "a", "b").mapInArrow(run, "rid long, n long, shingle long")
+    return rows.select("a", "b", "text").mapInArrow(run, "rid long, n long, shingle long")
 
 
 def need(n: Column | str) -> Column:
@@ -133,19 +141,19 @@ def need_of_pair(n: Column, other: Column) -> Column:
     return F.floor((4 * (n + other) + 8) / 9)
 
 
-def likely_classes(docs: DataFrame, classes: DataFrame, extra: int) -> DataFrame:
-    """The rows of classes (a, b, doc_id, n) that step 2 leaves in."""
-    rows = first_shingles(docs, extra)
-    shared = rows.groupBy("shingle").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("shingle")
-    held = rows.join(shared.hint("shuffle_hash"), "shingle", "left_semi").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+def likely_classes(rows: DataFrame, classes: DataFrame, extra: int) -> DataFrame:
+    """The rows of classes (a, b, key, n) that step 2 leaves in."""
+    first = first_shingles(rows, extra)
+    shared = first.groupBy("shingle").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("shingle")
+    held = first.join(shared.hint("shuffle_hash"), "shingle", "left_semi").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("held"))
     least = F.greatest(F.lit(1), F.floor(need("n") * extra / 100))
     return classes.join(held, "a").where(F.col("held") >= least).drop("held")
 
 
-def texts_of_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (doc_id, a, b, text): one document of each class, its table broadcast if counted as small enough."""
+def texts_of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (a, b, text): one document of each class, its table broadcast if counted as small enough."""
     near = F.broadcast(classes) if classes.count() <= BROADCAST_CLASSES else classes
-    return docs.select("doc_id", "text").join(near, "doc_id").select("doc_id", "a", "b", "text")
+    return rows.select("key", "text").join(near, "key").select("a", "b", "text")
 
 
 def ordered_sets(sets: DataFrame) -> DataFrame:
@@ -186,10 +194,11 @@ def links_of(pairs: DataFrame, cut: DataFrame) -> DataFrame:
 
 
 def prefix_rows(ordered: DataFrame) -> DataFrame:
-    """Rows (shingle, rid, n, rest): prefix shingles, rest being how many of the set stand from there on in the global order."""
+    """Rows (shingle, rid, n, rest, own): prefix shingles, rest being how many of the set stand from there on in the global order, own how many it has alone."""
     size = F.size("held").cast("long")
     prefix = F.slice("held", F.lit(1), (size - need("n") + 1).cast("int"))
-    return ordered.select("rid", "n", size.alias("m"), F.posexplode(prefix).alias("k", "e")).select("e.shingle", "rid", "n", (F.col("m") - F.col("k")).alias("rest"))
+    rows = ordered.select("rid", "n", size.alias("m"), F.posexplode(prefix).alias("k", "e"))
+    return rows.select("e.shingle", "rid", "n", (F.col("m") - F.col("k")).alias("rest"), (F.col("n") - F.col("m")).alias("own"))
 
 
 def bounded(x: str, y: str) -> Column:
@@ -203,13 +212,28 @@ def pair_columns(x: str, y: str) -> list[Column]:
     return [F.col(f"{x}.rid").alias("p"), F.col(f"{y}.rid").alias("q"), F.col(f"{x}.n").alias("n_p"), F.col(f"{y}.n").alias("n_q")]
 
 
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (p, q, n_p, n_q) of each class p with at most PARTNERS hubs of its prefix shingles: those met most often and the most central ones."""
+    orders = [F.struct(F.col("own") if i < HUBS // 2 else F.lit(0), F.xxhash64("rid", F.lit(i))) for i in range(HUBS)]
+    hub = F.struct("rid", "n", "rest", "own")
+    hubs = rows.groupBy("shingle").agg(*[F.min_by(hub, o).alias(f"hub{i}") for i, o in enumerate(orders)])
+    hubs = hubs.select("shingle", F.explode(F.array_distinct(F.array(*[f"hub{i}" for i in range(HUBS)]))).alias("hub")).select("shingle", "hub.*")
+    x, y = rows.alias("x"), hubs.alias("y")
+    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rid") != F.col("y.rid")) & bounded("x", "y"))
+    met = near.select(*pair_columns("x", "y"), "y.own").groupBy("p", "q", "n_p", "n_q", "own").agg((-F.count(F.lit(1))).alias("met"))
+
+    def first(*by: str) -> Column:  # of one class's hubs, of which its prefix bounds the number
+        ordered = F.sort_array(F.collect_list(F.struct(*by, F.xxhash64("q", "p").alias("mixed"), "q", "n_q")))
+        return F.transform(F.slice(ordered, 1, PARTNERS // 2), lambda e: F.struct(e["q"].alias("q"), e["n_q"].alias("n_q")))
+
+    chosen = met.groupBy("p", "n_p").agg(F.array_union(first("met"), first("own", "met")).alias("partners"))
+    return chosen.select("p", "n_p", F.inline("partners")).select("p", "q", "n_p", "n_q")
+
+
 def class_links(ordered: DataFrame) -> DataFrame:
     """Rows (u, v) of components of the sets: two passes of links."""
     cut, rows = written(fragments(ordered), "fragments"), checkpointed(prefix_rows(ordered))
-    hubs = rows.groupBy("shingle").agg(F.min_by(F.struct("rid", "n", "rest"), "rid").alias("hub")).select("shingle", "hub.*")
-    x, y = rows.alias("x"), hubs.alias("y")
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rid") != F.col("y.rid")) & bounded("x", "y"))
-    first = checkpointed(links_of(near.select(pair_columns("x", "y")).distinct(), cut))
+    first = checkpointed(links_of(hub_pairs(rows), cut))
     known = components(first)
 
     named = rows.join(known.select(F.col("u").alias("rid"), F.col("v").alias("c")), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
@@ -219,27 +243,38 @@ def class_links(ordered: DataFrame) -> DataFrame:
     x, y = open_.where("c <> main").alias("x"), open_.alias("y")
     once = (F.col("y.c") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid"))
     rest = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") != F.col("y.c")) & once & bounded("x", "y"))
-    second = links_of(rest.select(pair_columns("x", "y")).distinct(), cut)
-    return components(first.unionByName(second))
+    second = checkpointed(links_of(rest.select(pair_columns("x", "y")).distinct(), cut))
+    return known if second.isEmpty() else components(first.unionByName(second))
+
+
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n_shingles, a, b) of docs, and rows (a, b, c): each class with its component."""
+    rows = keyed(docs)
+    sets = checkpointed(set_rows(rows))
+    classes = checkpointed(sets.where("n_shingles > 0").groupBy("a", "b").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n")))
+    likely, chosen = classes, rows
+    for extra in EXTRA:
+        likely = checkpointed(likely_classes(chosen, likely, extra))
+        chosen = texts_of_classes(rows, likely)
+    found = class_links(written(ordered_sets(full_sets(chosen)), "sets"))
+    return sets, classes.join(found.select(F.col("u").alias("a"), "v"), "a", "left").select("a", "b", F.coalesce("v", "a").alias("c"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
-    A null or empty text, or one of white space only, has no shingles and is its own component. A
-    row with a null doc_id gets the component of the documents with the same set, or null if none
-    of them has an id, and links nothing itself. Repeated rows each get the same answer. Columns
-    other than doc_id and text are not read. An empty table gives an empty result. Shingles are told
-    apart by 64-bit hashes and sets by 128-bit sums of them.
+    A null or empty text, or one of white space only, has no shingles and is its own component.
+    Documents are told apart by id and text, so different texts that share a doc_id link on their
+    own. A null doc_id links like any other; component_id is the smallest id of the component, null
+    if none of its documents has one. Repeated rows each get the same answer. Columns other than
+    doc_id and text are not read. An empty table gives an empty result. Shingles, and the classes
+    that are compared, are told apart by 64-bit hashes, sets by 128-bit sums of them.
     """
-    sets = checkpointed(set_rows(docs))
-    classes = sets.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rid"), F.max("n_shingles").alias("n"))
-    likely, chosen = classes.where("rid is not null").withColumnRenamed("rid", "doc_id"), docs
-    for extra in EXTRA:
-        likely = checkpointed(likely_classes(chosen, likely, extra))
-        chosen = texts_of_classes(docs, likely)
-    found = class_links(written(ordered_sets(full_sets(chosen)), "sets"))
-    merged = classes.join(found.select(F.col("u").alias("rid"), "v"), "rid", "left").select("a", "b", F.coalesce("v", "rid").alias("component_id"))
+    sets, found = classed(docs)
+    own = sets.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("id"))
+    named = own.join(found, ["a", "b"])
+    smallest = named.groupBy("c").agg(F.min("id").alias("component_id"))
+    merged = named.join(smallest, "c").select("a", "b", "component_id")
     linked = sets.where("n_shingles > 0").join(merged, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -252,12 +287,14 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     other, and its document links like any other: it stays if no document of its component has an id,
     one of several. Where texts of one component share the smallest id, the one with the least hash stays.
     """
-    own = F.xxhash64(F.col("doc_id").cast("long"), text_bytes())
-    found = jaccard_components(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "component_id").distinct()
-    ids = docs.select(own.alias("own"), F.col("doc_id").cast("long").alias("id")).distinct()
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "own"))
-    kept = ids.join(found, "own").groupBy("component_id").agg(first.alias("first")).select(F.col("first.own").alias("own"))
-    return unboxed(boxed(docs, own=own).join(kept, "own", "left_semi").dropDuplicates(["own"]), docs.columns)
+    sets, found = classed(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    best = sets.where("n_shingles > 0").groupBy("a", "b").agg(first).join(found, ["a", "b"])
+    kept = best.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    kept = checkpointed(kept.unionByName(sets.where("n_shingles = 0").select("key").distinct()))
+    rows = boxed(docs, key=F.xxhash64(F.col("doc_id").cast("long"), text_bytes())).join(kept, "key", "left_semi")
+    repeats = sets.groupBy("key").count().where("count > 1").select("key")
+    return unboxed(one_of_repeats(rows, checkpointed(repeats)), docs.columns)
 
 
 SQL = r"""
