@@ -1,14 +1,17 @@
 """Repeated runs of lines: suffix ranks by distributed prefix doubling, in built-in functions only.
 
-A corpus is a set of sequences of line ids, one per document. Rank k of a place orders the blocks of
-2**k lines that start there; only blocks found at two places or more have one, so unique text leaves
-the tables at once. Doubling joins each place with the one 2**k lines on and ranks the pairs, by a
-range sort. The ranks are a suffix array over the repeated text: two places agree in their first m
-lines exactly if they have equal ranks for the block at their start and for the block that ends
-after m lines. So for each place, with m the fewest lines that hold ``min_words`` words, the places
-of one key (m, first block, last block) are an LCP interval. Its first place is the original; each
-other place is a later copy, and descending the ranks gives the longest prefix it shares with the
-original: the maximal run that is deleted there.
+A corpus is a set of sequences of line ids, one per document; lines without a word belong to the line
+before them. Rank k of a place orders the blocks of 2**k lines that start there; only blocks found at
+two places or more have one, so unique text leaves the tables at once. Doubling puts beside each rank
+the one 2**k lines on and ranks the pairs, by a range sort. The ranks are a suffix array over the
+repeated text: two places agree in their first m lines, 2**k <= m < 2**(k + 1), exactly if they have
+equal ranks for the block at their start and for the block that ends after m lines. The places of one
+key (m, first block, last block) are an LCP interval, and its first place is the original.
+
+A maximal run of at least ``min_words`` words is the union of its least such parts: from each of its
+lines the fewest lines onward that hold so many words, and the fewest back. So only intervals of those
+lengths are looked up. They have at most min_words lines, which bounds the doublings, and every line
+of every repeated run lies in one. The parts that are later copies are joined to maximal runs and go.
 """
 
 from __future__ import annotations
@@ -18,17 +21,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, checkpointed, unboxed, whole_text
+from .common import boxed, checkpointed, unboxed, whole_text, written
 
 MIN_WORDS = 50
 PLACE = ["d", "h", "pos"]
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows (d, h, pos, line, words): each document's lines; d and h tell documents apart by id and text."""
-    rows = docs.select(document_id().alias("d"), F.xxhash64(whole_text()).alias("h"), F.posexplode(F.split(whole_text(), "\n")).alias("pos", "text"))
-    words = F.length(F.regexp_replace(F.regexp_replace(F.col("text"), r"[^\x20\x09-\x0D]+", "w"), r"[\x20\x09-\x0D]+", ""))
-    return rows.select(*PLACE, F.unhex(F.md5("text")).alias("line"), words.alias("words"))
+#: Where a text is cut: before each line with a word, so that lines without one stay with the line before.
+CUT = r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def document_id() -> Column:
@@ -36,99 +35,120 @@ def document_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
 
-def ranked(values: DataFrame, columns: list[str]) -> DataFrame:
-    """values with a column rank that orders them by columns: after a range sort, the partition's number and the row's in it."""
-    ordered = values.repartitionByRange(*columns).sortWithinPartitions(*columns)
-    return checkpointed(ordered.withColumn("rank", F.monotonically_increasing_id()))
+def text_hash() -> Column:
+    return F.xxhash64(whole_text())
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """Rows (d, h, pos, line, words): each document's lines with words; d and h tell documents apart by id and text."""
+    rows = docs.select(document_id().alias("d"), text_hash().alias("h"), F.posexplode(F.split(whole_text(), CUT, -1)).alias("pos", "unit"))
+    line = F.substring_index("unit", "\n", 1)
+    return rows.select(*PLACE, F.unhex(F.md5(line)).alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words")).where("words > 0")
 
 
 def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The keys that occur at two places or more."""
-    place = F.struct(*PLACE)
-    found = rows.groupBy(*key).agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    return found.where("low <> high").select(*key)
-
-
-def doubling(lines: DataFrame) -> list[DataFrame]:
-    """levels[k] has rows (d, h, pos, rank) of the places whose block of 2**k lines occurs elsewhere too."""
-    named = ranked(repeated(lines, ["line"]), ["line"])
-    levels = [checkpointed(lines.select(*PLACE, "line").join(named, "line").select(*PLACE, "rank").distinct())]
-    while not levels[-1].isEmpty():
-        step = 1 << len(levels) - 1
-        ahead = levels[-1].select("d", "h", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = levels[-1].join(ahead, PLACE)
-        named = ranked(repeated(pairs, ["rank", "next"]).withColumnRenamed("rank", "first"), ["first", "next"])
-        level = pairs.withColumnRenamed("rank", "first").join(named, ["first", "next"]).select(*PLACE, "rank")
-        levels.append(checkpointed(level))
-    return levels[:-1]
-
-
-def later_copies(lines: DataFrame, levels: list[DataFrame], min_words: int) -> DataFrame:
-    """Rows (d, h, pos, d0, h0, pos0): places whose first min_words words occur at an earlier place too, and the earliest."""
-    in_doc = Window.partitionBy("d", "h").orderBy("pos")
-    run = checkpointed(lines.select(*PLACE, "words").join(levels[0].select(*PLACE), PLACE, "left_semi").distinct())
-    island = run.withColumn("island", F.col("pos") - F.row_number().over(in_doc)).withColumn("held", F.sum("words").over(Window.partitionBy("d", "h", "island").orderBy("pos")))
-    goal = island.withColumn("goal", F.col("held") - F.col("words") + min_words)
-    # the first place of the island where held reaches the goal: order goals and sums in one window
-    ends = island.select("d", "h", "island", F.col("held").alias("at"), F.lit(1).alias("sort"), F.col("pos").alias("end"), F.lit(None).cast("int").alias("pos"))
-    goals = goal.select("d", "h", "island", F.col("goal").alias("at"), F.lit(0).alias("sort"), F.lit(None).cast("int").alias("end"), "pos")
-    onward = Window.partitionBy("d", "h", "island").orderBy("at", "sort", F.coalesce("end", "pos")).rowsBetween(0, Window.unboundedFollowing)
-    reach = ends.unionByName(goals).withColumn("last", F.first("end", ignorenulls=True).over(onward)).where("sort = 0 and last is not null")
-    starts = checkpointed(reach.select(*PLACE, (F.col("last") - F.col("pos") + 1).alias("m")))
-    found = []
-    for k, level in enumerate(levels):
-        size = 1 << k
-        own = starts.where((F.col("m") >= size) & (F.col("m") < 2 * size))
-        first = own.join(level, PLACE).withColumn("end", F.col("pos") + F.col("m") - size)
-        last = level.select("d", "h", F.col("pos").alias("end"), F.col("rank").alias("last"))
-        found.append(first.join(last, ["d", "h", "end"]).select(*PLACE, "m", "rank", "last"))
-    keyed = checkpointed(reduce(DataFrame.unionByName, found))
+    """The keys that occur at two places or more, with their first place."""
     place = F.struct(*PLACE)
-    original = keyed.groupBy("m", "rank", "last").agg(F.min(place).alias("o"))
-    return keyed.join(original, ["m", "rank", "last"]).where(place != F.col("o")).select(*PLACE, F.col("o.d").alias("d0"), F.col("o.h").alias("h0"), F.col("o.pos").alias("pos0"))
-
-
-def run_lengths(copies: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """copies with a column length: the lines that a later copy and its original share, longest blocks first."""
-    out = copies.withColumn("length", F.lit(0))
-    for k in range(len(levels) - 1, -1, -1):
-        here = levels[k].select("d", "h", (F.col("pos")).alias("at"), F.col("rank").alias("rank_here"))
-        there = levels[k].select(F.col("d").alias("d0"), F.col("h").alias("h0"), F.col("pos").alias("at0"), F.col("rank").alias("rank_there"))
-        out = out.withColumn("at", F.col("pos") + F.col("length")).withColumn("at0", F.col("pos0") + F.col("length"))
-        out = out.join(here, ["d", "h", "at"], "left").join(there, ["d0", "h0", "at0"], "left")
-        same = F.coalesce(F.col("rank_here") == F.col("rank_there"), F.lit(False))
-        out = out.withColumn("length", F.col("length") + F.when(same, 1 << k).otherwise(0)).drop("at", "at0", "rank_here", "rank_there")
-        if k % 3 == 0:
-            out = checkpointed(out)
-    return out
-
-
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (d, h, gone): for each document with later copies, the numbers of the lines in them."""
-    lines = lines_of(docs)
-    levels = doubling(lines)
-    if not levels:
-        return lines.select("d", "h", F.array("pos").alias("gone")).where(F.lit(False))
-    runs = run_lengths(later_copies(lines, levels, min_words), levels)
-    gone = runs.select("d", "h", F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
-    return gone.groupBy("d", "h").agg(F.collect_list("pos").alias("gone"))
+    return rows.groupBy(*key).agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select(*key, "low")
+
+
+def ranked(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """The keys of rows that occur at two places or more, with their place in sorted order: after a range sort, the partition's number and the row's in it."""
+    ordered = repeated(rows, key).select(key).repartitionByRange(*key).sortWithinPartitions(*key)
+    return checkpointed(ordered.withColumn(name, F.monotonically_increasing_id()))
+
+
+def lengths(ahead: Column, least: int) -> Column:
+    """How many lines the parts have that begin at a place; ahead has the places (pos, words) from there on, least + 1 at most."""
+    joined = F.filter(ahead, lambda x, i: x["pos"] == F.col("pos") + i)
+
+    def add(s: Column, x: Column) -> Column:
+        n, total = s["n"] + 1, s["total"] + x["words"]
+        reached = lambda name, words: F.when((s[name] == 0) & (words >= least), n).otherwise(s[name]).alias(name)
+        return F.struct(n.alias("n"), total.alias("total"), reached("own", total), reached("next", total - F.col("words")))
+
+    zero = F.struct(*[F.lit(0).alias(x) for x in ("n", "total", "own", "next")])
+
+    def parts(s: Column) -> Column:
+        last = F.when(s["next"] > 0, s["next"] - 1).otherwise(s["n"])
+        return F.when(s["own"] > 0, F.sequence(s["own"], F.greatest(s["own"], last)))
+
+    return F.coalesce(F.aggregate(joined, zero, add, parts), F.array().cast("array<int>"))
+
+
+def level_rows(places: DataFrame, k: int) -> DataFrame:
+    """Rows (d, h, pos, rank, lens, next, parts) of rows (d, h, pos, rank, lens): next is the rank 2**k lines on, parts the lengths from 2**k lines to twice that with the rank of their last block."""
+    size = 1 << k
+    ahead = F.collect_list(F.struct("pos", "rank")).over(Window.partitionBy("d", "h").orderBy("pos").rowsBetween(0, size))
+    rows = places.withColumn("ahead", ahead)
+    at = lambda i: F.get(F.filter(F.slice("ahead", i + 1, 1), lambda x: x["pos"] == F.col("pos") + i), F.lit(0))["rank"]
+    own = F.transform(F.filter("lens", lambda m: (m >= size) & (m < 2 * size)), lambda m: F.struct(m.alias("m"), at(m - size).alias("last")))
+    return rows.select(*PLACE, "rank", F.filter("lens", lambda m: m >= 2 * size).alias("lens"), at(F.lit(size)).alias("next"), F.filter(own, lambda x: x["last"].isNotNull()).alias("parts"))
+
+
+def doubling(docs: DataFrame, least: int) -> list[DataFrame]:
+    """level_rows() of k = 0, 1, ... as long as parts are open; each is written."""
+    lines = written(lines_of(docs), "lines")
+    found = lines.join(ranked(lines, ["line"], "rank"), "line").select(*PLACE, "rank", "words")
+    places = found.repartition("d", "h").dropDuplicates(PLACE)
+    ahead = F.collect_list(F.struct("pos", "words")).over(Window.partitionBy("d", "h").orderBy("pos").rowsBetween(0, least))
+    places = places.withColumn("ahead", ahead).select(*PLACE, "rank", lengths(F.col("ahead"), least).alias("lens"))
+    levels = [written(level_rows(places, 0), "level")]
+    while not levels[-1].where("size(lens) > 0").isEmpty():
+        pairs = levels[-1].where("next is not null").select(*PLACE, F.col("rank").alias("first"), "next", "lens")
+        places = pairs.join(ranked(pairs, ["first", "next"], "rank"), ["first", "next"]).select(*PLACE, "rank", "lens")
+        levels.append(written(level_rows(places, len(levels)), "level"))
+    return levels
+
+
+def later_copies(levels: list[DataFrame]) -> DataFrame:
+    """Rows (d, h, pos, m): parts that are found at an earlier place too, which they do not overlap."""
+    rows = [x.select(*PLACE, F.col("rank").alias("first"), F.inline("parts")) for x in levels]
+    parts = reduce(DataFrame.unionByName, rows)
+    key = ["m", "first", "last"]
+    met = parts.join(repeated(parts, key), key)
+    apart = (F.col("d") != F.col("low.d")) | (F.col("h") != F.col("low.h")) | (F.col("pos") >= F.col("low.pos") + F.col("m"))
+    return met.where(apart).select(*PLACE, "m")
+
+
+def deleted_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (d, h, runs): for each document with later copies, its maximal runs of lines to delete, as sorted (from, to)."""
+    in_doc = Window.partitionBy("d", "h").orderBy("pos", "m")
+    ends = later_copies(doubling(docs, min_words)).withColumn("end", F.col("pos") + F.col("m") - 1)
+    before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ends.withColumn("new", (F.coalesce(before, F.lit(-2)) + 1 < F.col("pos")).cast("int")).withColumn("run", F.sum("new").over(in_doc))
+    runs = opened.groupBy("d", "h", "run").agg(F.min("pos").alias("from"), F.max("end").alias("to"))
+    return runs.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+
+
+def between(runs: Column, units: Column) -> Column:
+    """The units that no run holds: slices between runs, in order."""
+
+    def part(j: Column) -> Column:
+        begin = F.coalesce(F.get(runs, j - 1)["to"] + 1, F.lit(0))
+        end = F.coalesce(F.get(runs, j)["from"], F.size(units))
+        return F.slice(units, begin + 1, end - begin)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), part))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the later copies of repeated runs, and columns n_lines and n_deleted.
 
-    The earliest place, by doc_id, then by a hash of the text, then by line, keeps its run. Runs of
-    fewer than min_words words stay. A null text stays null with no lines deleted; an empty one has
-    one line. Rows that repeat id and text are one document and get the same answer. A null doc_id
-    comes before all others. Other columns are carried along, except that n_lines and n_deleted are
-    replaced. An empty table gives an empty result.
+    A run is a stretch of lines with at least min_words words; lines are compared whole. The earliest
+    place, by doc_id, then by a hash of the text, then by line, keeps its run; a later copy is one that
+    does not overlap it. Lines without a word are not compared and go with the line before. A null
+    text stays null with no lines; an empty one has one line. Rows that repeat id and text are one
+    document and get the same answer. A null doc_id comes before all others. Other columns are carried
+    along, except that n_lines and n_deleted are replaced. An empty table gives an empty result.
     """
-    gone = checkpointed(deleted_lines(docs, min_words))
-    rows = boxed(docs, _d=document_id(), _h=F.xxhash64(whole_text()), text=F.col("text"))
+    gone = checkpointed(deleted_runs(docs, min_words))
+    rows = boxed(docs, _d=document_id(), _h=text_hash(), text=F.col("text"))
     rows = rows.join(gone, (rows["_d"] == gone["d"]) & (rows["_h"] == gone["h"]), "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    deleted = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0)
-    count = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
-    text = F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text"))
-    return unboxed(rows, docs.columns, text=text, n_lines=count, n_deleted=deleted)
+    rows = rows.withColumn("left", F.when(F.col("runs").isNotNull(), between(F.col("runs"), F.split("text", CUT, -1))))
+    count = lambda text: F.regexp_count(text, F.lit("\n")) + 1
+    rows = rows.withColumn("joined", F.array_join("left", "\n")).withColumn("n", F.coalesce(count(F.col("text")), F.lit(0)))
+    remain = F.when(F.size("left") == 0, 0).otherwise(count(F.col("joined")))
+    deleted = F.when(F.col("runs").isNotNull(), F.col("n") - remain).otherwise(0)
+    text = F.when(F.col("runs").isNotNull(), F.col("joined")).otherwise(F.col("text"))
+    return unboxed(rows, docs.columns, text=text, n_lines=F.col("n"), n_deleted=deleted)
