@@ -4,11 +4,14 @@ An archive's records, ordered by slot, are leaves of a tree with ``FANOUT`` chil
 hashes a record's offset, length and SHA-256; a node hashes its children in order, with the slots
 they stand in, so it vouches for an ordered range of offsets. The audit compares the roots of the
 two replicas, then only the children of nodes that differ, level by level, down to the records.
-Levels are plain groupings by (archive, node), bounded by FANOUT rows a group.
+Levels are plain groupings by (archive, node), bounded by FANOUT rows a group; there are as many as the
+highest slot needs for one root an archive.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,11 +21,16 @@ from pyspark.sql import functions as F
 from .common import checkpointed, whole_text
 
 FANOUT = 16
-LEVELS = 3
-#: Slots of an archive; FANOUT**LEVELS at most.
+#: Levels above the leaves; more where an archive has more than FANOUT**LEAST_LEVELS slots.
+LEAST_LEVELS = 3
+#: Slots of an archive of documents.
 SLOTS = 1000
 
 
+#: Bytes of a gzip member that are unzipped at once.
+PIECE = 1 << 16
+
+
 def record_bytes(doc_id: Column, text: Column) -> Column:
     """A WARC resource record of a document."""
     head = F.concat(
@@ -60,11 +68,20 @@ def with_offsets(leaf_rows: DataFrame) -> DataFrame:
     return leaf_rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
-def tree(leaf_rows: DataFrame) -> list[DataFrame]:
+def levels_of(*replicas: DataFrame) -> int:
+    """How many levels give every archive of the replicas one root, node 0."""
+    highest = max((r.agg(F.max("slot")).first()[0] or 0 for r in replicas), default=0)
+    levels = LEAST_LEVELS
+    while FANOUT**levels <= highest:
+        levels += 1
+    return levels
+
+
+def tree(leaf_rows: DataFrame, levels_above: int) -> list[DataFrame]:
     """Levels from leaves to roots: rows (archive, node, hash)."""
     entry = F.sha2(F.concat_ws("|", F.col("offset").cast("string"), F.col("length").cast("string"), "hash"), 256)
     levels = [leaf_rows.select("archive", F.col("slot").alias("node"), entry.alias("hash"))]
-    for _ in range(LEVELS):
+    for _ in range(levels_above):
         child = F.concat_ws(":", F.col("node").cast("string"), "hash")
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("node", child.alias("child")))), lambda x: x["child"])
         parent = levels[-1].groupBy("archive", F.floor(F.col("node") / FANOUT).alias("node"))
@@ -84,14 +101,15 @@ def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
     The replicas have columns archive, slot, offset, length, hash. Result: archive, root_a, root_b
     (null where a replica lacks the archive), slot, offset, length (of replica a, else of b; -1
     for intact archives), status (intact, altered, missing in b, extra in b). Rows with a null
-    archive or slot are left out; empty replicas give an empty result.
+    archive or a null or negative slot are left out; empty replicas give an empty result.
     """
-    whole = [r.where("archive is not null and slot is not null") for r in (replica_a, replica_b)]
-    trees = [tree(r) for r in whole]
+    whole = [r.where("archive is not null and slot >= 0") for r in (replica_a, replica_b)]
+    above = levels_of(*whole)
+    trees = [tree(r, above) for r in whole]
     roots = [t[-1].select("archive", F.col("hash").alias(f"root_{x}")) for t, x in zip(trees, "ab")]
     both = checkpointed(roots[0].join(roots[1], "archive", "full"))
     bad = both.where(~F.col("root_a").eqNullSafe(F.col("root_b"))).select("archive", F.lit(0).cast("long").alias("parent"))
-    for k in range(LEVELS - 1, -1, -1):
+    for k in range(above - 1, -1, -1):
         below = [t[k].withColumn("parent", F.floor(F.col("node") / FANOUT)).join(bad, ["archive", "parent"], "left_semi").drop("parent") for t in trees]
         found = differing(*below)
         bad = checkpointed(found.select("archive", F.col("node").alias("parent")))
@@ -123,8 +141,9 @@ def drill(docs: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files, gzipped by record or plain: archive, slot, offset, length, hash, headers, payload.
 
-    One task reads one file, as WARC files are written to about a gigabyte. Bytes after the last
-    whole record come as one record with null headers, so that a cut file shows in an audit.
+    One task reads one file, as WARC files are written to about a gigabyte; Spark's reader of whole
+    files takes up to 2 GB. Bytes after the last whole record come as one record with null headers,
+    so that a cut file shows in an audit.
     """
     schema = "archive string, slot long, offset long, length long, hash string, headers map<string,string>, payload binary"
 
@@ -140,32 +159,40 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, schema)
 
 
-def split_records(data: bytes) -> Iterator[tuple[int, int, str, list[tuple[str, str]] | None, bytes]]:
-    """(offset, length, SHA-256 of the stored bytes, headers, payload) of each record."""
-    import hashlib
-    import zlib
+def unzipped(data: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at a place and its stored size; what is left of the data if it is cut or broken."""
+    unzip, parts, begin = zlib.decompressobj(wbits=31), [], at
+    try:
+        while at < len(data) and not unzip.eof:
+            parts.append(unzip.decompress(data[at : at + PIECE]))
+            at += PIECE
+    except zlib.error:
+        return b"", len(data) - begin
+    if not unzip.eof:
+        return b"", len(data) - begin
+    return b"".join(parts), min(at, len(data)) - len(unzip.unused_data) - begin
+
 
-    at = 0
+def split_records(data: bytes) -> Iterator[tuple[int, int, str, list[tuple[str, str]] | None, bytes]]:
+    """(offset, length, SHA-256 of the stored bytes, headers, payload) of each record; each byte is read once."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            unzip = zlib.decompressobj(wbits=31)
-            try:
-                plain, size = unzip.decompress(data[at:]), len(data) - at - len(unzip.unused_data)
-            except zlib.error:
-                plain, size = b"", len(data) - at
+        if data.startswith(b"\x1f\x8b", at):
+            plain, size = unzipped(view, at)
+            begin = 0
         else:
-            plain, size = data[at:], None
-        head, found, rest = plain.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "replace").split("\r\n")
+            plain, size, begin = data, None, at
+        end = plain.find(b"\r\n\r\n", begin)
+        lines = plain[begin : max(end, begin)].decode("utf-8", "replace").split("\r\n")
         headers = [tuple(map(str.strip, x.split(":", 1))) for x in lines[1:] if ":" in x]
         length = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), None)
-        if not found or not lines[0].startswith("WARC/") or length is None or len(rest) < length:
+        if end < 0 or not lines[0].startswith("WARC/") or length is None or len(plain) < end + 4 + length:
             stored = data[at:]
             yield at, len(stored), hashlib.sha256(stored).hexdigest(), None, stored
             return
-        size = len(head) + 4 + length + 4 if size is None else size
-        stored = data[at : at + size]
-        yield at, len(stored), hashlib.sha256(stored).hexdigest(), headers, rest[:length]
+        size = end + 4 + length + 4 - begin if size is None else size
+        stored = view[at : at + size]
+        yield at, len(stored), hashlib.sha256(stored).hexdigest(), headers, plain[end + 4 : end + 4 + length]
         at += size
 
 
