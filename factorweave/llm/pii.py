@@ -4,12 +4,15 @@ One pattern finds the entities of a text. Each entity has a kind and a canonical
 digits only, ...); its surrogate is a function of key, kind, canonical form and an attempt number:
 
 - it keeps kind and format: separators, length, letter case, country code, issuer digit and Luhn
-  validity of card numbers, gender and script of names;
+  validity of card numbers, gender, script, hyphens, apostrophes, particles and initials of names;
 - the same entity has the same surrogate everywhere, in any spelling (coreference);
 - different entities have different ones (distinctness). That is checked over the whole corpus: the
   distinct entities are grouped by surrogate, and those that share one, or hit an entity that really
   occurs, move to their next attempt until no conflict is left.
 
+A name is found behind a title. Every other capitalised mention of one of its words in the same
+document, before or after, is replaced by the same surrogate.
+
 Surrogates of first attempts are computed in place. Only documents that hold a moved entity get
 their attempts through a join, which Spark broadcasts if it measures that table as small enough and
 shuffles otherwise.
@@ -17,6 +20,8 @@ shuffles otherwise.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +29,15 @@ from .common import LOWER, UPPER, boxed, checkpointed, unboxed
 
 KEY = "surrogates"
 # Titles before names, by gender.
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "господин", "κύριος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "госпожа", "κυρία")
+MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "г-н", "господин", "κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "Signora", "г-жа", "госпожа", "κυρία")
+EITHER = ("Dr", "Prof", "Professor", "Doctor", "Docteur", "Doktor")
+# Small words inside surnames.
+PARTICLES = "van von der den de del della di da du la le el al bin ibn zu zum zur ter ten dos das y".split()
+TITLES = rf"(?:{'|'.join(MALE + FEMALE + EITHER)})\.?(?: (?:{'|'.join(EITHER)})\.?)*"
+#: A name's word: letters, joined by hyphens and apostrophes, without a possessive s.
+NAME_WORD = r"\p{Lu}[\p{L}\p{M}]*(?:['’\-](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*)*"
+INITIALS = r"(?:\p{Lu}\. ?)"
 
 PATTERNS = {
     "email": r"[A-Za-z0-9_][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -33,18 +45,22 @@ PATTERNS = {
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "hex_secret": r"(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7})(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d)",
+    "ip": r"(?<![\d.])(?<![vV])(?<![vV]ersion )" + r"\.".join([r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"] * 4) + r"(?!\d|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)",
-    "name": rf"(?<!\w)(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}[\p{{Ll}}\-]+(?: \p{{Lu}}[\p{{Ll}}\-]+)?",
+    "name": rf"(?<!\w){TITLES} {INITIALS}{{0,3}}(?:{NAME_WORD} {INITIALS}{{0,3}})?(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{NAME_WORD}",
 }
 #: Any entity. They all begin where no word goes on, which rules out most places at once.
 ANY = rf"(?<![\w.%+\-])(?:{'|'.join(PATTERNS.values())})"
+#: In documents with names: any entity, or a capitalised word that may be one of the names.
+ANY_OR_WORD = rf"{ANY}|(?<![\p{{L}}\p{{M}}'’\-]){NAME_WORD}(?![\p{{L}}\p{{M}}])"
 #: Pieces of text without which there is no entity; looking for them is cheap.
-SIGNS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Signor", "г-", "господин", "госпожа", "κύριος", "κυρία")
+SIGNS = ("Mr", "Ms", "Miss", "Mister", "Madam", "Sir ", "Lady", "Herr", "Frau", "Mons", "Mme", "Mlle", "Señor", "Sr", "Don", "Doña", "Signor", "г-", "господин", "госпожа", "κύριος", "κυρία", "Dr", "Prof", "Do")
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηου"}
 CONSONANTS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστφ"}
-ENDINGS = {"latin": ("o", "a"), "cyrillic": ("ор", "на"), "greek": ("ος", "α")}
+ENDINGS = {"latin": ("o", "a", "is"), "cyrillic": ("ор", "на", "ин"), "greek": ("ος", "α", "ις")}
+#: Letters whose order a key turns, for initials.
+ALPHABETS = (UPPER, "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
 
 def let(value: Column, body) -> Column:
@@ -53,8 +69,8 @@ def let(value: Column, body) -> Column:
 
 
 def kind_of(found: Column) -> Column:
-    """The first kind whose pattern the whole match fits."""
-    out = F.lit("name")
+    """The first kind whose pattern the whole match fits; "word" for a capitalised word without a title."""
+    out = F.when(title_of(found) != "", F.lit("name")).otherwise(F.lit("word"))
     for kind in reversed([k for k in PATTERNS if k != "name"]):
         out = F.when(F.regexp_extract(found, f"^(?:{PATTERNS[kind]})$", 0) != "", F.lit(kind)).otherwise(out)
     return out
@@ -64,21 +80,37 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def name_parts(found: Column) -> Column:
-    """Of a titled name, its one or two name words: given name and surname."""
-    return F.split(F.regexp_replace(found, rf"^(?:{'|'.join(MALE + FEMALE)})\.? ", ""), " ")
+def title_of(found: Column) -> Column:
+    return F.regexp_extract(found, rf"^{TITLES} ", 0)
+
+
+def name_tokens(found: Column) -> Column:
+    """What stands behind the title of a name: words, initials and particles."""
+    return F.split(F.regexp_replace(found, rf"^{TITLES} ", ""), " ")
+
+
+def is_initials(token: Column) -> Column:
+    return token.rlike(r"^(?:\p{Lu}\.)+$")
+
+
+def given_kind(found: Column) -> Column:
+    male, female = (F.regexp_extract(found, rf"^(?:{'|'.join(t)})\.? ", 0) != "" for t in (MALE, FEMALE))
+    return F.when(female, F.lit("given_f")).when(male, F.lit("given_m")).otherwise(F.lit("given"))
 
 
-def female(found: Column) -> Column:
-    return F.regexp_extract(found, rf"^(?:{'|'.join(FEMALE)})\.? ", 0) != ""
+def name_entities(found: Column) -> Column:
+    """The words of a titled name as array of (kind, canonical): the last is the surname, the others are given names."""
+    words = F.filter(name_tokens(found), lambda t: t.rlike(r"^\p{Lu}") & ~is_initials(t))
+
+    def entity(words: Column) -> Column:
+        kind = lambda i: F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(given_kind(found))
+        return F.transform(words, lambda w, i: F.struct(kind(i).alias("kind"), F.lower(w).alias("canonical")))
+
+    return let(words, entity)
 
 
 def entities(found: Column, kind: Column) -> Column:
-    """The entities of a match of a kind, as array of (kind, canonical): one, or given name and surname."""
-    parts = name_parts(found)
-    entity = lambda k, c: F.struct(k.alias("kind"), c.alias("canonical"))
-    given = entity(F.when(female(found), F.lit("given_f")).otherwise(F.lit("given_m")), F.lower(parts[0]))
-    surname = entity(F.lit("surname"), F.lower(F.element_at(parts, -1)))
+    """The entities of a match of a kind, as array of (kind, canonical): one, those of a name, or none for a word."""
     canonical = (
         F.when(kind == "email", F.lower(found))
         .when(kind == "phone", F.substring(digits(found), -10, 10))
@@ -86,7 +118,8 @@ def entities(found: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
         .otherwise(found)
     )
-    return F.when(kind != "name", F.array(entity(kind, canonical))).when(F.size(parts) > 1, F.array(given, surname)).otherwise(F.array(surname))
+    one = F.array(F.struct(kind.alias("kind"), canonical.alias("canonical")))
+    return F.when(kind == "name", name_entities(found)).when(kind == "word", F.slice(one, 1, 0)).otherwise(one)
 
 
 def stream(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -115,16 +148,38 @@ def shaped(text: Column, of: Column, skip: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def named(kind: Column, canonical: Column, of: Column) -> Column:
-    """An invented name of the entity's script and, for given names, gender: syllables and an ending."""
+def named(kind: Column, canonical: Column, of: Column, attempt: Column) -> Column:
+    """An invented name in lower case, of the entity's script and, for given names, gender: syllables and an ending.
+
+    Hyphens, apostrophes and single letters stay. Later attempts are longer, so names never run out.
+    """
 
     def by_script(values: dict[str, Column]) -> Column:
         return F.when(canonical.rlike(r"\p{IsCyrillic}"), values["cyrillic"]).when(canonical.rlike(r"\p{IsGreek}"), values["greek"]).otherwise(values["latin"])
 
     consonants, vowels = (by_script({k: F.lit(v) for k, v in x.items()}) for x in (CONSONANTS, VOWELS))
-    ending = by_script({k: F.when(kind == "given_f", F.lit(f)).when(kind == "given_m", F.lit(m)).otherwise(F.lit("")) for k, (m, f) in ENDINGS.items()})
-    places = F.array(*[F.lit(i) for i in range(7)])
-    return F.initcap(F.concat(F.array_join(F.transform(places, lambda i: pick(F.when(i % 2 == 0, consonants).otherwise(vowels), byte(of, i))), ""), ending))
+    ending = by_script({k: F.when(kind == "given_f", F.lit(f)).when(kind == "given_m", F.lit(m)).when(kind == "given", F.lit(n)).otherwise(F.lit("")) for k, (m, f, n) in ENDINGS.items()})
+    places = F.sequence(F.lit(0), 6 + 2 * attempt)
+
+    def part(old: Column, i: Column) -> Column:
+        letters = F.transform(places, lambda j: pick(F.when(j % 2 == 0, consonants).otherwise(vowels), byte(of, j + 11 * i)))
+        joint = F.regexp_extract(old, "['’\\-]$", 0)
+        return F.when(F.length(old) - F.length(joint) < 2, old).otherwise(F.concat(F.array_join(letters, ""), ending, joint))
+
+    return F.array_join(F.transform(F.split(canonical, "(?<=['’\\-])"), part), "")
+
+
+def cased(word: Column, value: Column) -> Column:
+    """value, a name in lower case, with capitals as word has them: all, or at each part's begin."""
+    parts = F.transform(F.split(value, "(?<=['’\\-])"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2))))
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(value)).otherwise(F.array_join(parts, ""))
+
+
+def turned(key: str, initials: Column) -> Column:
+    """Initials under a permutation of each alphabet that the key decides and that leaves no letter in place."""
+    step = int.from_bytes(hashlib.sha256(f"{key}|initials".encode()).digest()[:8], "big")
+    cut = [1 + step % (len(a) - 1) for a in ALPHABETS]
+    return F.translate(initials, "".join(ALPHABETS), "".join(a[n:] + a[:n] for a, n in zip(ALPHABETS, cut)))
 
 
 def luhn_sum(number: Column) -> Column:
@@ -159,7 +214,7 @@ def surrogate(key: str, kind: Column, canonical: Column, attempt: Column) -> Col
             F.when(kind == "card", card(canonical, of))
             .when(kind == "ip", F.array_join(octets, "."))
             .when(kind == "hex_secret", F.substring(of, 1, 40))
-            .when(kind.isin("given_f", "given_m", "surname"), named(kind, canonical, of))
+            .when(kind.isin("given", "given_f", "given_m", "surname"), named(kind, canonical, of, attempt))
             .otherwise(
                 let(
                     body,
@@ -184,36 +239,52 @@ def formatted(found: Column, value: Column) -> Column:
     return F.array_join(F.transform(F.split(found, ""), one), "")
 
 
-def replacement(key: str, found: Column, attempts: Column) -> Column:
-    """What stands in a text for a match."""
-    of = lambda e: surrogate(key, e["kind"], e["canonical"], F.coalesce(F.try_element_at(attempts, F.concat_ws("|", e["kind"], e["canonical"])), F.lit(0)))
-    title = F.regexp_extract(found, rf"^(?:{'|'.join(MALE + FEMALE)})\.? ", 0)
+def replacement(key: str, found: Column, names: Column, attempts: Column) -> Column:
+    """What stands in a text for a match; names has the (kind, canonical) of the names of its document."""
 
-    def shown(values: Column, kind: Column) -> Column:
-        first = values[0]
-        return (
-            F.when(kind == "name", F.concat(title, F.array_join(values, " ")))
-            .when(kind == "email", F.when(found == F.upper(found), F.upper(first)).otherwise(first))
-            .when(kind.isin("card", "ssn", "phone", "iban"), formatted(found, first))
-            .otherwise(first)
-        )
+    def of(e: Column) -> Column:
+        return surrogate(key, e["kind"], e["canonical"], F.coalesce(F.try_element_at(attempts, F.concat_ws("|", e["kind"], e["canonical"])), F.lit(0)))
+
+    def same_name(token: Column) -> Column:
+        return F.get(F.filter(names, lambda e: e["canonical"] == F.lower(token)), F.lit(0))
+
+    def name_token(token: Column) -> Column:
+        word = let(same_name(token), lambda e: F.when(e.isNull(), token).otherwise(cased(token, of(e))))
+        return F.when(is_initials(token), turned(key, token)).when(token.rlike(r"^\p{Lu}"), word).otherwise(token)
+
+    def shown(kind: Column) -> Column:
+        first = let(of(F.get(entities(found, kind), F.lit(0))), lambda v: (
+            F.when(kind == "email", F.when(found == F.upper(found), F.upper(v)).otherwise(v)).when(kind.isin("card", "ssn", "phone", "iban"), formatted(found, v)).otherwise(v)
+        ))
+        whole = F.concat(title_of(found), F.array_join(F.transform(name_tokens(found), name_token), " "))
+        return F.when(kind == "name", whole).when(kind == "word", name_token(found)).otherwise(first)
 
-    return let(kind_of(found), lambda kind: let(F.transform(entities(found, kind), of), lambda values: shown(values, kind)))
+    return let(kind_of(found), shown)
+
+
+def likely(text: Column) -> Column:
+    """Whether a text shows a sign of any entity."""
+    out = text.rlike("[0-9@]")
+    for sign in SIGNS:
+        out = out | F.contains(text, F.lit(sign))
+    return out
 
 
 def matches(text: Column) -> Column:
     """All matches of a text, in order; null where the text is null or shows no sign of any."""
-    likely = text.rlike("[0-9@]")
-    for sign in SIGNS:
-        likely = likely | F.contains(text, F.lit(sign))
-    return F.when(likely, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    return F.when(likely(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+
+
+def document_key() -> Column:
+    """Tells documents apart by id and text, as a 64-bit hash."""
+    return F.xxhash64("doc_id", "text")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, kind, canonical): the distinct entities of each document."""
-    found = docs.select("doc_id", F.explode(matches(F.col("text"))).alias("found"))
+    """Rows (own, kind, canonical): the distinct entities of each document."""
+    found = docs.select(document_key().alias("own"), F.explode(matches(F.col("text"))).alias("found"))
     told = found.withColumn("found_kind", kind_of(F.col("found")))
-    return told.select("doc_id", F.inline(entities(F.col("found"), F.col("found_kind")))).distinct()
+    return told.select("own", F.inline(entities(F.col("found"), F.col("found_kind")))).distinct()
 
 
 def attempts_table(found: DataFrame, key: str, most: int = 50, make=surrogate) -> DataFrame:
@@ -240,24 +311,31 @@ def attempts_table(found: DataFrame, key: str, most: int = 50, make=surrogate) -
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, all other columns as they are, and a column n_entities.
 
-    A null text stays null with n_entities 0; an empty one stays empty. Repeated rows and ids are
-    treated alike. An empty table gives an empty result. Other columns, whatever their names, are
-    carried along; a column named n_entities is replaced.
+    n_entities counts the replaced places. A null text stays null with n_entities 0; an empty one stays
+    empty. Repeated rows and ids are treated alike. An empty table gives an empty result. Other columns,
+    whatever their names, are carried along; a column named n_entities is replaced. Names are found
+    behind a title only; a text that mentions a person without any title keeps the name.
     """
     held = checkpointed(occurrences(docs))
     moved = checkpointed(attempts_table(held.select("kind", "canonical").distinct(), key))
     none = F.create_map().cast("map<string,int>")
-    rows = boxed(docs, id=F.col("doc_id"), text=F.col("text"), found=matches(F.col("text")))
+    rows = boxed(docs, own=document_key(), text=F.col("text"), found=matches(F.col("text")))
     if moved.isEmpty():
         rows = rows.withColumn("attempts", none)
     else:
         entry = F.struct(F.concat_ws("|", "kind", "canonical"), "attempt")
-        of_doc = held.join(moved, ["kind", "canonical"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("told"))
-        rows = rows.join(of_doc, rows["id"].eqNullSafe(of_doc["doc_id"]), "left").withColumn("attempts", F.coalesce("told", none))
-    count = F.coalesce(F.when(F.size("found") > 0, F.size("found")), F.lit(0))
-    gaps, new = F.split("text", ANY, -1), F.transform("found", lambda m: replacement(key, m, F.col("attempts")))
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.lit("")))), "")
-    rows = rows.withColumn("n", count)
+        of_doc = held.join(moved, ["kind", "canonical"]).groupBy("own").agg(F.map_from_entries(F.collect_list(entry)).alias("told"))
+        rows = rows.join(of_doc, "own", "left").withColumn("attempts", F.coalesce("told", none))
+    titled = F.filter("found", lambda m: title_of(m) != "")
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform(titled, name_entities))), lambda x, y: F.when(x["kind"] > y["kind"], -1).when(x["kind"] < y["kind"], 1).otherwise(0))
+    rows = rows.withColumn("names", words)  # surnames first
+    named_ = F.size("names") > 0
+    rows = rows.withColumn("found", F.when(named_, F.regexp_extract_all("text", F.lit(ANY_OR_WORD), F.lit(0))).otherwise(F.col("found")))
+    rows = rows.withColumn("new", F.transform("found", lambda m: replacement(key, m, F.col("names"), F.col("attempts"))))
+    gaps = F.when(named_, F.split("text", ANY_OR_WORD, -1)).otherwise(F.split("text", ANY, -1))
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
+    count = F.size(F.filter(F.arrays_zip("found", "new"), lambda x: x["found"] != x["new"]))
+    rows = rows.withColumn("n", F.coalesce(F.when(F.size("found") > 0, count), F.lit(0)))
     return unboxed(rows, docs.columns, text=F.when(F.col("n") > 0, joined).otherwise(F.col("text")), n_entities=F.col("n"))
 
 
