@@ -75,10 +75,96 @@ def test_pages(spark):
     assert wrapper_induction.extract(df.limit(0)).collect() == []
 
 
+def extracted(spark, pages):
+    """Texts by id of (url, html) pairs."""
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrapper_induction.extract(df).orderBy("page_id").collect()]
+
+
+def alone(page):
+    """The text of a page that is the only one of its host."""
+    root, tree = wrapper_induction.read(page.encode())
+    return wrapper_induction.main_text(root, tree, wrapper_induction.Wrapper(tree, [[n, 1, 1, len(t)] for n, t in wrapper_induction.slots(root).items()]))
+
+
 def test_constant_nodes_become_template(spark):
-    rows = [(i, "http://h.org/x", f"<body><div><p>Same strapline</p></div><section><p>Own text number {i}</p><p>Common closing</p></section></body>") for i in range(30)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert all(r["text"] == f"Own text number {r['page_id']}\nCommon closing" for r in wrapper_induction.extract(df).collect())
+    page = "<body><div><p>Same strapline</p></div><section><p>Own text number {}</p><p>Common closing</p></section></body>"
+    two = "<body><div><p>Other strapline</p></div><h2>Second layout</h2><section><p>Word {}</p></section></body>"
+    rows = [("http://h.org/x", page.format(i)) for i in range(30)] + [("http://h.org/y", two.format(i)) for i in range(3)] + [("http://small.org/", page.format(i)) for i in range(2)]
+    wanted = [f"Own text number {i}\nCommon closing" for i in range(30)] + [f"Word {i}" for i in range(3)] + [f"Own text number {i}\nCommon closing" for i in range(2)]
+    assert extracted(spark, rows) == wanted
+
+
+def test_equal_pages_of_a_host_keep_their_text(spark):
+    page = "<body><article><h1>A title</h1><p>Some text of it.</p></article></body>"
+    assert extracted(spark, [("http://h.org/x", page)] * 3) == ["A title\nSome text of it."] * 3
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<p>a</p><svg/><p>b</p><svg><text>no</text></svg><p>c", "a\nb\nc"),
+        ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>", "x y=2 z"),
+        ("<p>go <span class='ad'>buy <span>now</span></span> on</p>", "go on"),
+        ("<div class='layout-sidebar'><h1>T</h1><p>A long text of the page.</p></div>", "T\nA long text of the page."),
+        ("<div class='content has-sidebar'><p>A long text of the page.</p></div><div class='sidebar'>See also</div>", "A long text of the page."),
+        ("<div class='sidebar-left'><div><p>A long text of the page, in a strange place.</p></div></div><div>End.</div>", "A long text of the page, in a strange place.\nEnd."),
+        ("<article class='post share'><h1>T</h1><p>Text.</p><div class='comments'><p>First! A very long comment on it, longer than the text.</p></div></article>", "T\nText."),
+        ("<form id='aspnet'><nav>Menu</nav><h1>T</h1><p>The text of a page within a form.</p><input></form>", "T\nThe text of a page within a form."),
+        ("<article class='teaser'><p>Read this.</p></article><div><h1>T</h1><p>The long main text stands in a plain element.</p></div>", "T\nThe long main text stands in a plain element."),
+        ("<body class='nav-open'><main><h1>T</h1><p>x</p></main><div><p>An unmarked but longer text beside the main element.</p></div>", "T\nx"),
+        ("<div><a href=a>Home</a> <a href=b>About</a></div><p>Text with a <a href=c>link</a> in it.</p>", "Text with a link in it."),
+        ("<header><h1>Site</h1></header><article><header><h1>T</h1></header><p>x</p><footer>f</footer></article>", "T\nx"),
+        ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\nafter"),
+        ("<div class=ad>" * 3 + "x" + "</div>" * 3 + "<p>" + "word " * 50000, "word " * 49999 + "word"),
+        ("<i>" * 20000 + "x", "x"),
+    ],
+)
+def test_odd_pages(page, wanted):
+    assert alone(page) == wanted
+
+
+def test_pages_with_many_siblings_take_no_square_time():
+    import time
+
+    began = time.time()
+    page = "<body>" + "".join(f"<h2>t{i}</h2><p>p{i}</p>" for i in range(20000))
+    assert alone(page).count("\n") == 39999 and time.time() - began < 20
+
+
+def brute_matching(a, b):
+    """The size of the largest match, from the recursion over all ways to pair children in order."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), best(xs, ys[1:]), best(xs[1:], ys[1:]) + brute_matching(xs[0], ys[0]))
+
+    return 1 + best(a[1], b[1])
+
+
+def test_simple_tree_matching_equals_brute_force():
+    import random
+
+    random.seed(1)
+
+    def tree(depth):
+        return (random.choice("pqr"), [tree(depth - 1) for _ in range(random.randint(0, 3))] if depth else [])
+
+    def flat(t, out):
+        out.append(t)
+        for c in t[1]:
+            flat(c, out)
+        return out
+
+    for _ in range(300):
+        a, b = ("x", tree(3)[1]), ("x", tree(3)[1])
+        got = wrapper_induction.simple_tree_matching(a, b)
+        nodes = flat(a, []), flat(b, [])
+        assert len(got) == brute_matching(a, b) and all(nodes[0][i][0] == nodes[1][j][0] for i, j in got.items())
+        assert len(set(got.values())) == len(got) and [got[i] for i in sorted(got)] == sorted(got.values())
 
 
 def test_simple_tree_matching_aligns_inserted_nodes():
