@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,8 +19,20 @@ ROUND = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The folder that driver and executors share; a temporary one only in local mode where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def over_returns(operator):
@@ -66,7 +79,7 @@ def p01_read_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p02_write_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/panel-{uuid.uuid4().hex}"
+    path = new_folder(spark, "panel")
     source.write_panel(stand_in.monthly(spark, sf_dir), path)
     return spark.read.parquet(path).select("asset", "date", "price", "weight", "year")
 
@@ -97,14 +110,46 @@ def p30_pca(prices: DataFrame, rets: DataFrame) -> DataFrame:
     return risk.pca_factors(rets, assets, 3)
 
 
+def ticks(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+
+
 def p31_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    ticks = lambda df: df.select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
-    folder = f"{shared_dir(spark)}/bars-{uuid.uuid4().hex}"
+    schema, folder = table(spark, sf_dir, "events").schema, new_folder(spark, "bars")
     made = bars.run_bars(spark, sf_dir, "events.parquet", schema, ticks, f"{folder}/out", f"{folder}/state", "1 hour", "2 hours")
     return workloads.rounded(made, ROUND)
 
 
+def p31_late_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the events comes after the others: what falls into bars that are final by then is dropped."""
+    events, folder = table(spark, sf_dir, "events"), new_folder(spark, "late")
+    for late in (False, True):
+        events.where((F.col("event_id") % 5 == 0) == late).write.mode("append").parquet(f"{folder}/in")
+        made = bars.run_bars(spark, f"{folder}/in", "*.parquet", events.schema, ticks, f"{folder}/out", f"{folder}/state", "1 hour", "2 hours")
+    return workloads.rounded(made, ROUND)
+
+
+def with_holes(prices: DataFrame) -> DataFrame:
+    """prices with some NULL and some zero."""
+    price = F.when(F.month("date") == 3, None).when((F.month("date") == 8) & F.col("asset").endswith("3"), 0.0).otherwise(F.col("price"))
+    return prices.withColumn("price", price)
+
+
+def with_losses(rets: DataFrame) -> DataFrame:
+    """rets with some total losses and some returns below -1."""
+    lost = F.when((F.month("date") == 6) & F.col("asset").endswith("3"), -1.0).when((F.month("date") % 5 == 0) & F.col("asset").endswith("4"), -1.5)
+    return rets.withColumn("ret", F.coalesce(lost, F.col("ret")))
+
+
+def block(prices: DataFrame, rets: DataFrame) -> DataFrame:
+    first = rets.select("asset").where(F.col("asset").endswith("1"))
+    return risk.covariance_block(rets, first, rets.select("asset").where(~F.col("asset").endswith("1")))
+
+
+def over_workload(job):
+    return lambda spark, sf_dir: workloads.rounded(job(spark, sf_dir), ROUND)
+
+
 QUERIES = {
     "p01_read_panel": p01_read_panel,
     "p02_write_panel": p02_write_panel,
@@ -112,6 +157,8 @@ QUERIES = {
     "p04_resample": stand_in.monthly,
     "p05_missing_cells": p05_missing_cells,
     "p06_returns": over_returns(lambda p, r: panel.returns(p, "simple", F.lit(31))),
+    "p06_returns_with_holes": over_returns(lambda p, r: panel.returns(with_holes(p))),
+    "p06_log_returns": over_returns(lambda p, r: panel.returns(p, "log")),
     "p07_excess": over_returns(p07_excess),
     "p08_asof_attach": p08_asof_attach,
     "p09_winsorize": over_returns(lambda p, r: panel.winsorize(r, "ret", 0.1, 0.9)),
@@ -120,6 +167,7 @@ QUERIES = {
     "p12_sorted_portfolios": over_returns(lambda p, r: panel.sorted_portfolios(sized(p, r), "weight", 5)),
     "p13_long_short": over_returns(lambda p, r: panel.long_short(panel.sorted_portfolios(sized(p, r), "weight", 5), "size")),
     "p14_momentum": over_returns(lambda p, r: panel.momentum(r, 12, 2)),
+    "p14_momentum_with_losses": over_returns(lambda p, r: panel.momentum(with_losses(r), 12, 2)),
     "p15_beta": over_returns(lambda p, r: regression.beta(r, market(r))),
     "p16_rolling_beta": over_returns(lambda p, r: regression.rolling_beta(r, market(r), 12)),
     "p17_ols": over_returns(lambda p, r: fitted(p, r)[1]),
@@ -129,6 +177,7 @@ QUERIES = {
     "p21_fama_macbeth": over_returns(lambda p, r: regression.fama_macbeth(r, fitted(p, r)[1].select("asset", "beta_mkt"), ["mkt"])),
     "p22_newey_west": over_returns(lambda p, r: regression.newey_west(market(r), "value", 4)),
     "p23_covariance": over_returns(lambda p, r: risk.covariance(r, "asset", "ret")),
+    "p23_covariance_block": over_returns(block),
     "p24_correlation": over_returns(lambda p, r: risk.correlation(r, "asset", "ret")),
     "p25_risk_split": over_returns(split),
     "p26_attribution": over_returns(attributed),
@@ -137,6 +186,10 @@ QUERIES = {
     "p29_factor_union": over_returns(lambda p, r: panel.factor_union(market(r), panel.market_factor(sized(p, r), "weight").unionByName(panel.long_short(panel.sorted_portfolios(sized(p, r), "weight", 5), "size")))),
     "p30_pca_factors": over_returns(p30_pca),
     "p31_stream_bars": p31_stream_bars,
+    "p31_late_ticks": p31_late_ticks,
+    "wa_rolling_exposures": over_workload(workloads.rolling_exposures),
+    "wb_priced_factors": over_workload(workloads.priced_factors),
+    "wc_risk_and_attribution": over_workload(workloads.risk_and_attribution),
 }
 
 
@@ -161,6 +214,9 @@ SQL = {
       select a.asset, c.date from (select distinct asset from d) a cross join (select distinct date from d) c anti join d on d.asset = a.asset and d.date = c.date""",
     "p06_returns": over_panel(f"""select asset, date, {r6('ret')} from (select asset, date, lag(price) over w is null as first,
       case when date - lag(date) over w <= 31 then price / lag(price) over w - 1 end as ret from px window w as (partition by asset order by date)) where not first"""),
+    "p06_returns_with_holes": over_panel(f"""select asset, date, {r6('ret')} from (select asset, date, row_number() over w as i, price / nullif(lag(price) over w, 0) - 1 as ret
+      from (select asset, date, case when month(date) = 3 then null when month(date) = 8 and asset like '%3' then 0 else price end as price from px) window w as (partition by asset order by date)) where i > 1"""),
+    "p06_log_returns": over_panel(f"select asset, date, {r6('ln(1 + ret) as ret')} from r"),
     "p07_excess": over_panel(f"""select asset, r.date, {r6('ret - rf as ret')} from r left join (select date, count(*) / 10000 as rf from r group by 1 having month(date) <= 10) q on q.date = r.date"""),
     "p08_asof_attach": over_panel("""select p.asset, p.date, p.price, s.price as quarter_price from px p asof left join
       (select asset, date + 14 as at, price from px where month(date) % 3 = 1) s on s.asset = p.asset and p.date >= s.at"""),
@@ -173,6 +229,9 @@ SQL = {
     "p13_long_short": over_panel(f"select date, 'size' as factor, {r6('size as value')} from ls"),
     "p14_momentum": over_panel(f"""select asset, date, {r6('ret', 'mom')} from (select asset, date, ret,
       case when count(ret) over w = 11 then exp(sum(ln(1 + ret)) over w) - 1 end as mom from r window w as (partition by asset order by date rows between 12 preceding and 2 preceding))"""),
+    "p14_momentum_with_losses": over_panel(f"""select asset, date, {r6('ret', 'mom')} from (select asset, date, ret, case when count(ret) over w = 11 then product(1 + ret) over w - 1 end as mom from (
+      select asset, date, case when month(date) = 6 and asset like '%3' then -1.0 when month(date) % 5 = 0 and asset like '%4' then -1.5 else ret end as ret from r)
+      window w as (partition by asset order by date rows between 12 preceding and 2 preceding))"""),
     "p15_beta": over_panel(f"""select asset, n, {r6('beta', 'alpha', 'r2')} from (select asset, count(*) as n, case when count(*) > 1 then regr_slope(ret, mkt) end as beta,
       case when count(*) > 1 then regr_intercept(ret, mkt) end as alpha, case when count(*) > 1 then regr_r2(ret, mkt) end as r2 from r join mkt using (date) group by 1)"""),
     "p16_rolling_beta": over_panel(f"""select asset, date, {r6('beta')} from (select asset, date,
@@ -191,6 +250,8 @@ SQL = {
       from (select mean, e, lag(e, 1) over w as e1, lag(e, 2) over w as e2, lag(e, 3) over w as e3, lag(e, 4) over w as e4
         from (select date, mkt - avg(mkt) over () as e, avg(mkt) over () as mean from mkt) window w as (order by date)))"""),
     "p23_covariance": over_panel(f"select x.asset as f1, y.asset as f2, count(*) as n, {r6('covar_samp(x.ret, y.ret) as cov')} from r x join r y on x.date = y.date and x.asset <= y.asset group by 1, 2"),
+    "p23_covariance_block": over_panel(f"""select x.asset as f1, y.asset as f2, count(*) as n, {r6('covar_samp(x.ret, y.ret) as cov')} from r x join r y on x.date = y.date
+      where x.asset like '%1' and y.asset not like '%1' group by 1, 2"""),
     "p24_correlation": over_panel(f"select x.asset as f1, y.asset as f2, count(*) as n, {r6('corr(x.ret, y.ret) as corr')} from r x join r y on x.date = y.date and x.asset <= y.asset group by 1, 2"),
     "p25_risk_split": over_panel(f"""select asset, {r6('factor_var', 'resid_var', 'factor_var + resid_var as total_var')} from (
       select asset, beta_mkt * beta_mkt * c11 + 2 * beta_mkt * beta_size * c12 + beta_size * beta_size * c22 as factor_var, resid_var from ols
@@ -206,9 +267,21 @@ SQL = {
     "p31_stream_bars": f"""with t as (select event_type as asset, time_bucket(interval '1 hour', ts) as start, ts, event_id, value from events)
       select asset, start, {r6('arg_min(value, (ts, event_id)) as open', 'max(value) as high', 'min(value) as low', 'arg_max(value, (ts, event_id)) as close')}, count(*) as n
       from t group by 1, 2 having start + interval '1 hour' <= (select max(ts) - interval '2 hours' from events)""",
+    "p31_late_ticks": f"""with t as (select event_type as asset, time_bucket(interval '1 hour', ts) as start, ts, event_id, value from events),
+      k as (select * from t where event_id % 5 <> 0 or start + interval '1 hour' > (select max(ts) - interval '2 hours' from events where event_id % 5 <> 0))
+      select asset, start, {r6('arg_min(value, (ts, event_id)) as open', 'max(value) as high', 'min(value) as low', 'arg_max(value, (ts, event_id)) as close')}, count(*) as n
+      from k group by 1, 2 having start + interval '1 hour' <= (select max(ts) - interval '2 hours' from events)""",
+    "wb_priced_factors": over_panel(f"""select factor, count(p) as n, {r6('avg(p) as mean', 'stddev_samp(p) as dev', 'avg(p) / (stddev_samp(p) / sqrt(count(p))) as t')} from (
+      select date, unnest(['0', 'mkt', 'size']) as factor, unnest([yb - p1 * x1 - p2 * x2, p1, p2]) as p from (
+      select date, yb, x1, x2, (y1 * v2 - y2 * v12) / (v1 * v2 - v12 * v12) as p1, (y2 * v1 - y1 * v12) / (v1 * v2 - v12 * v12) as p2 from (
+      select date, avg(ret) as yb, avg(beta_mkt) as x1, avg(beta_size) as x2, covar_pop(ret, beta_mkt) as y1, covar_pop(ret, beta_size) as y2, var_pop(beta_mkt) as v1, var_pop(beta_size) as v2,
+      covar_pop(beta_mkt, beta_size) as v12 from r join ols using (asset) group by date having count(*) > 2))) group by 1"""),
 }
 
 
+SQL |= {"wa_rolling_exposures": SQL["p18_rolling_ols"], "wc_risk_and_attribution": SQL["p25_risk_split"]}
+
+
 def queries():
     return dict(QUERIES)
 

@@ -30,9 +30,9 @@ def missing_cells(panel: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def returns(prices: DataFrame, kind: str = "simple", step: Column | None = None) -> DataFrame:
-    """Returns from each price to the next; the first is dropped.
+    """Returns from each price to the next; each asset's first row is dropped.
 
-    step is the longest distance in days that counts as one period; over a longer gap the return is
+    A row whose own price or the one before is NULL, or that follows a price of zero, has a NULL return. step is the longest distance in days that counts as one period; over a longer gap the return is
     NULL. Without it a gap gives a return over several periods.
     """
     before = F.lag("price").over(by_asset())
@@ -40,8 +40,8 @@ def returns(prices: DataFrame, kind: str = "simple", step: Column | None = None)
     value = F.log(ratio) if kind == "log" else ratio - 1
     if step is not None:
         value = F.when(F.date_diff("date", F.lag("date").over(by_asset())) <= step, value)
-    told = prices.withColumn("_first", before.isNull()).withColumn("ret", value)
-    return told.where(~F.col("_first")).select("asset", "date", "ret")
+    told = prices.withColumn("_row", F.row_number().over(by_asset())).withColumn("ret", value)
+    return told.where("_row > 1").select("asset", "date", "ret")
 
 
 def excess(rets: DataFrame, riskfree: DataFrame) -> DataFrame:
@@ -105,10 +105,16 @@ def long_short(portfolios: DataFrame, name: str = "spread") -> DataFrame:
 
 
 def momentum(rets: DataFrame, far: int, near: int) -> DataFrame:
-    """rets with the compounded return from ``far`` to ``near`` periods ago; NULL until the window is full."""
+    """rets with the compounded return from ``far`` to ``near`` periods ago; NULL until the window is full.
+
+    A total loss in the window makes it -1; a return below -1 turns the sign of what is left.
+    """
     window = by_asset().rowsBetween(-far, -near)
     full = F.count("ret").over(window) == far - near + 1
-    return rets.withColumn("mom", F.when(full, F.expm1(F.sum(F.log1p("ret")).over(window))))
+    lost, turned = (F.count(F.when(c, 1)).over(window) for c in (F.col("ret") == -1, F.col("ret") < -1))
+    size = F.sum(F.when(F.col("ret") > -1, F.log1p("ret")).otherwise(F.log(F.abs(F.col("ret") + 1)))).over(window)
+    value = F.when(lost > 0, -1.0).when(turned % 2 == 1, -F.exp(size) - 1).otherwise(F.expm1(size))
+    return rets.withColumn("mom", F.when(full, value))
 
 
 def top_residuals(df: DataFrame, column: str, k: int) -> DataFrame:

@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 def pairwise(series: DataFrame, key: str, value: str, how, name: str) -> DataFrame:
     """A statistic of each pair of series (key, date, value) on their common dates, keys in order.
 
-    The result has a row per pair of keys, so it is meant for factors or a block of assets.
+    The result has a row per pair of keys, so it is meant for factors; assets go block by block.
     """
-    held = series.where(F.col(value).isNotNull()).select("date", F.col(key).alias("k"), F.col(value).alias("v"))
-    x, y = held.alias("x"), held.alias("y")
-    both = x.join(y, (F.col("x.date") == F.col("y.date")) & (F.col("x.k") <= F.col("y.k")))
+    held = with_values(series, key, value)
+    return paired(held, held, F.col("x.k") <= F.col("y.k"), how, name)
+
+
+def with_values(series: DataFrame, key: str, value: str) -> DataFrame:
+    return series.where(F.col(value).isNotNull()).select("date", F.col(key).alias("k"), F.col(value).alias("v"))
+
+
+def paired(one: DataFrame, other: DataFrame, which, how, name: str) -> DataFrame:
+    x, y = one.alias("x"), other.alias("y")
+    both = x.join(y, (F.col("x.date") == F.col("y.date")) & which)
     return both.groupBy(F.col("x.k").alias("f1"), F.col("y.k").alias("f2")).agg(F.count(F.lit(1)).alias("n"), how(F.col("x.v"), F.col("y.v")).alias(name))
 
 
@@ -24,6 +32,16 @@ def covariance(series: DataFrame, key: str = "factor", value: str = "value") ->
     return pairwise(series, key, value, F.covar_samp, "cov")
 
 
+def covariance_block(series: DataFrame, rows: DataFrame, columns: DataFrame, key: str = "asset", value: str = "ret") -> DataFrame:
+    """(f1, f2, n, cov): the covariances of the keys in rows with those in columns, one block of a matrix too large for one go.
+
+    rows and columns are tables of keys. A pair is in the result in the order of the block, also where f1 > f2.
+    """
+    held = with_values(series, key, value)
+    one, other = (held.join(keys.select(F.col(key).alias("k")).distinct(), "k", "left_semi") for keys in (rows, columns))
+    return paired(one, other, F.lit(True), F.covar_samp, "cov")
+
+
 def correlation(series: DataFrame, key: str = "factor", value: str = "value") -> DataFrame:
     """(f1, f2, n, corr), f1 <= f2."""
     return pairwise(series, key, value, F.corr, "corr")

@@ -80,3 +80,34 @@ def test_panel_round_trip_and_revisions(spark, tmp_path, made):
     assert source.read_panel(spark, str(tmp_path / "p"), source.RETURNS).count() == rets.count()
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, None)], "k string, v int, w string")
     assert sorted((r["k"], r["w"]) for r in source.latest_revision(rows, ["k"], "v").collect()) == [("a", "z"), ("b", None)]
+
+
+def test_rows_after_null_and_zero_prices_have_null_returns(spark):
+    prices = spark.createDataFrame([("a", DAYS[i], p, 1.0) for i, p in enumerate([None, 1.0, 2.0, None, 3.0, 0.0, 1.0])], source.PRICES)
+    assert [r["ret"] for r in panel.returns(prices).orderBy("date").collect()] == [None, 1.0, None, None, -1.0, None]
+
+
+def test_momentum_after_a_total_loss(spark):
+    rets = spark.createDataFrame([("a", DAYS[i], r) for i, r in enumerate([0.1, -1.0, 0.1, 0.1, 0.1, -1.5, 0.1, 0.1])], source.RETURNS)
+    got = [r["mom"] for r in panel.momentum(rets, 3, 1).orderBy("date").collect()]
+    assert got[:3] == [None] * 3 and got[3:5] == [-1.0, -1.0] and np.allclose(got[5:], [1.1**3 - 1, -0.5 * 1.1**2 - 1, -0.5 * 1.1**2 - 1])
+
+
+def test_covariance_blocks_make_the_whole_matrix(made):
+    from pyspark.sql import functions as F
+
+    rets = made[0].where("asset <> 'c'")
+    whole = {(r["f1"], r["f2"]): r["cov"] for r in risk.covariance(rets, "asset", "ret").collect()}
+    one, other = (rets.select("asset").where(F.col("asset") == x) for x in "ab")
+    assert np.isclose(risk.covariance_block(rets, one, other).first()["cov"], whole["a", "b"])
+    assert np.isclose(risk.covariance_block(rets, other, other).first()["cov"], whole["b", "b"])
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from factorweave.jobs import queries
+
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        queries.shared_dir(cluster)
