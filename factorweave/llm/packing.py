@@ -29,8 +29,8 @@ SIZE = 4096
 END_ID = 1
 #: Words whose ids a Python worker keeps; beyond it the store starts anew, so memory stays bounded.
 WORDS_KEPT = 400_000
-#: Pieces of one length that one task ranks.
-RANKED = 1_000_000
+#: Pieces of one length are ranked in shares of so many at least, and of so many that the table of shares has at most SHARES rows more than there are lengths.
+LEAST_RANKED, SHARES = 1000, 10_000
 
 Run = tuple[list[tuple[int, int]], int]
 
@@ -48,18 +48,25 @@ SHOWN = shown_bytes()
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, encoding each different word once.
 
-    The vocabulary's rules fold A-Z, never join text across ASCII white space, and always part a
-    letter from punctuation that follows. So a text's ids are those of its white-space separated
-    words in lower case, and a word's those of its stem and of its trailing punctuation; tests
-    compare this with whole texts. A text that may spell a special token is not folded.
+    That needs a vocabulary whose rules fold A-Z, never join text across ASCII white space, and
+    always part a letter from punctuation that follows. Then a text's ids are those of its
+    white-space separated words in lower case, and a word's those of its stem and of its trailing
+    punctuation; tests compare this with whole texts. A text that may spell a special token is not
+    folded. Whether a vocabulary is like that is tried on PROBES; texts under any other are encoded
+    whole.
     """
 
     TRAILING = b".,;:!?#$%&*+-/=@^_~()[]{}|<>"
+    PROBES = ("Ab cD, ef. gh", " x\ty\n\nz  w ", "Word's (note) [a] {b} #1! 2,3.4-5 a-b", "ÀÉ naïve straße", "THE the; end: yes? <no> |x| a/b_c~ d=e@f^g*h&i$j%k+l")
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.ids = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.kept, self.ids, self.by_word = Tokenizer.from_file(path), kept, {}, True
+        self.by_word = all(self.encode(p.encode()) == self.whole(p.encode()) for p in self.PROBES)
+
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
         tokenize, rest = self.tokenizer.model.tokenize, []
@@ -81,6 +88,8 @@ class WordIds:
         return out
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return self.whole(text)
         words = (text if b"<|" in text else text.translate(LOWERED)).split()
         new = {w for w in words if w not in self.ids}
         if new:
@@ -197,13 +206,14 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     A null or empty text is the single id END_ID. Rows that repeat a doc_id are packed one by one.
     A null doc_id stays null. Columns other than doc_id and text are not read. An empty table gives
     an empty result. The driver holds at most ``size`` histogram entries and the runs made of them;
-    tasks get those and at most size + pieces / RANKED first ranks.
+    tasks get those and at most size + SHARES first ranks.
     """
     spark = docs.sparkSession
     pieces = checkpointed(token_pieces(docs, vocabulary, size))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(plan_table(minimum_bin_slack(histogram, size)))
-    shares = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in histogram.items()] or [(0, 1)], "length long, shares long")
+    ranked_at_once = max(LEAST_RANKED, -(-sum(histogram.values()) // SHARES))
+    shares = spark.createDataFrame([(n, -(-c // ranked_at_once)) for n, c in histogram.items()] or [(0, 1)], "length long, shares long")
     names = ["doc_id", "piece", "start", "ids_crc32"]
     dealt = pieces.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64(*names), "shares"))
     counts = dealt.groupBy("length", "share").count()

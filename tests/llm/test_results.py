@@ -344,6 +344,21 @@ def test_piece_queries_on_documents(spark, docs, texts):
     assert all(r["text"] == texts[r["doc_id"]] for r in piece_transducer.decode(piece_transducer.encode(docs, PIECES), PIECES).collect())
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_ids_are_those_of_whole_texts_under_any_vocabulary(name, texts):
+    coder = packing.WordIds(public_tokenizers.path(name), 300)
+    assert coder.by_word == name.startswith("word")
+    for t in [*list(texts.values())[:40], "", "A  b\n", "Ünïcode's, end."]:
+        assert np.frombuffer(coder.encode(t.encode()), "<u4").tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_in_many_shares(docs, monkeypatch):
+    one = [tuple(r) for r in packing.pack(docs, WORDS).collect()]
+    monkeypatch.setattr(packing, "LEAST_RANKED", 2)
+    other = [tuple(r) for r in packing.pack(docs, WORDS).collect()]
+    assert sorted(r[:5] for r in one) == sorted(r[:5] for r in other) and sorted(r[5:] for r in one) == sorted(r[5:] for r in other)
+
+
 def test_packing_is_whole_and_gapless(docs, texts):
     coder = packing.encoder(WORDS)
     rows = packing.pack(docs, WORDS).collect()
