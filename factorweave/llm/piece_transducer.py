@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into three parts: a normaliser (white space to its mark, dummy prefix), an
-acceptor of pieces, and byte fallback for characters no piece has. Composed with an input it gives a
-lattice whose states are places in the text with the last piece; the encoding is the shortest path
+A model file is compiled into three parts: a normaliser (the file's replacement rules, leftmost and
+longest first, removal of extra white space, white space to its mark, dummy prefix), an acceptor of
+pieces, and byte fallback for characters no piece has. Composed with an input it gives a lattice whose states are places in the text with the last piece; the encoding is the shortest path
 in the tropical semiring (weights add along a path, the least wins).
 
+User-defined pieces pass the normaliser as they are; in BPE models nothing merges with them.
+
 For unigram models an arc weighs minus the piece's score. For BPE models scores are merge ranks,
 not costs, and the sum of ranks would give other segmentations. There an arc weighs nothing if merging
 the last piece and the new one, joined, gives those two pieces back, and infinity if not. Exactly
@@ -32,7 +34,9 @@ from .common import groups_by_bytes, text_bytes
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-NORMAL, BYTE = 1, 6
+NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
+#: What a character without a piece costs more than the worst piece, in unigram models; how an unknown piece reads.
+UNKNOWN_COST, UNKNOWN_TEXT = 10.0, " \u2047 "
 #: Words, stretches and pairs of pieces whose solutions a Python worker keeps; beyond it the store starts anew.
 KEPT = 500_000
 
@@ -62,6 +66,24 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def replacement_rules(charsmap: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double array of 32-bit units that spells the left sides byte by byte, then the right sides."""
+    size = int.from_bytes(charsmap[:4], "little")
+    units, texts = np.frombuffer(charsmap, "<u4", size // 4, 4).astype(np.int64), charsmap[4 + size :]
+    letters, rules, todo = np.arange(1, 256), {}, [(0, b"")]
+    while todo:
+        at, key = todo.pop()
+        at ^= int(units[at] >> 10) << (int(units[at] & 512) >> 6)
+        if key and units[at] >> 31 and rules.get(key) is None:
+            begin = int(units[at] & 0x7FFFFFFF)
+            rules[key] = texts[begin : texts.index(b"\0", begin)]
+        below = at ^ letters
+        below = below[below < len(units)]
+        found = below[(units[below] & 0x800000FF) == below ^ at]
+        todo += [(int(x), key + bytes([int(x) ^ at])) for x in found]
+    return {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in rules.items()}
+
+
 class Transducer:
     """A compiled model with encode(text) -> ids and decode(ids) -> text."""
 
@@ -73,7 +95,8 @@ class Transducer:
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.byte_ids: dict[int, int] = {}
-        kind, self.prefix = UNIGRAM, True
+        self.user: dict[str, int] = {}
+        kind, self.prefix, self.squeeze, self.rules, self.unk, unused, fallback = UNIGRAM, True, True, {}, 0, set(), False
         for number, value in fields(data):
             if number == 1:
                 piece = dict(fields(value))
@@ -82,21 +105,44 @@ class Transducer:
                 if sort == BYTE:
                     self.byte_ids[int(text[3:5], 16)] = i
                     self.pieces.append(bytes([int(text[3:5], 16)]))
-                elif sort == NORMAL:
+                elif sort in (NORMAL, USER_DEFINED):
                     self.ids[text], self.score[text] = i, struct.unpack("<f", piece.get(2, bytes(4)))[0]
                     self.pieces.append(text.replace(MARK, " ").encode())
-                else:  # unknown, control: never made from text
+                    if sort == USER_DEFINED:
+                        self.user[text] = i
+                elif sort == UNKNOWN:
+                    self.unk = i
+                    self.pieces.append(UNKNOWN_TEXT.encode())
+                else:  # control, unused: never made from text
+                    unused |= {sort} & {UNUSED}
                     self.pieces.append(b"")
             elif number == 2:
-                kind = dict(fields(value)).get(3, UNIGRAM)
+                spec = dict(fields(value))
+                kind, fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
+                if spec.get(24, 0):
+                    raise ValueError("models that put the mark of white space behind words are not compiled")
             elif number == 3:
                 spec = dict(fields(value))
-                if spec.get(2) or spec.get(4, 1):
-                    raise ValueError("only the identity normaliser without removal of white space is compiled")
-                self.prefix = bool(spec.get(3, 1))
+                self.rules = replacement_rules(spec[2]) if spec.get(2) else {}
+                self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+                if not spec.get(5, 1):
+                    raise ValueError("models that do not mark white space are not compiled")
         if kind not in (UNIGRAM, BPE):
             raise ValueError(f"model type {kind} is neither unigram nor BPE")
         self.bpe = kind == BPE
+        if self.bpe and unused:
+            raise ValueError("unused pieces of BPE models are not compiled")
+        if not fallback:
+            self.byte_ids = {}
+        if self.user:
+            normal = [v for p, v in self.score.items() if p not in self.user]
+            for p in self.user:
+                del self.ids[p]
+                if not self.bpe:  # their score as the library has it
+                    self.ids[p], self.score[p] = self.user[p], len(p) * max(normal, default=0.0) - 0.1
+            self.user_marks = re.compile("|".join(re.escape(p) for p in sorted(self.user, key=len, reverse=True)))
+        self.widest = max(map(len, self.rules), default=0)
+        self.starts = re.compile("[" + "".join(re.escape(c) for c in sorted({k[0] for k in self.rules})) + "]") if self.rules else None
         self.letters = frozenset("".join(self.ids))
         # a piece has the mark at its start only, so a mark after another character begins a new stretch
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -109,7 +155,8 @@ class Transducer:
         self.stretches = re.compile(f"{MARK}*{first}[^{MARK}{ends}{line}]+|{MARK}*[{ends}]+|{MARK}+|\n" if ends else f"{MARK}*[^{MARK}{line}]+|{MARK}+|\n")
         self.unknown = len(self.pieces)  # the id of any character without a piece; one more stands for the start
         self.names = {i: p for p, i in self.ids.items()} | {self.unknown: "\0", self.unknown + 1: ""}
-        self.scores = {i: self.score[p] for p, i in self.ids.items()} | {self.unknown: -1e6}
+        normal = [v for p, v in self.score.items() if p not in self.user]
+        self.scores = {i: self.score[p] for p, i in self.ids.items()} | {self.unknown: min(normal, default=0.0) - UNKNOWN_COST}
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
@@ -117,6 +164,42 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
 
+    def replaced(self, text: str) -> str:
+        """text under the rules: at each place from the left the longest one that fits."""
+        if not self.rules or not self.starts.search(text):
+            return text
+        out, done, at = [], 0, 0
+        while found := self.starts.search(text, at):
+            begin = found.start()
+            for n in range(min(self.widest, len(text) - begin), 0, -1):
+                new = self.rules.get(text[begin : begin + n])
+                if new is not None:
+                    out += [text[done:begin], new]
+                    done = at = begin + n
+                    break
+            else:
+                at = begin + 1
+        return "".join([*out, text[done:]])
+
+    def normalised(self, text: str) -> str:
+        """text as the pieces read it: rules, white space, marks, dummy prefix; "" for nothing."""
+        if self.user:
+            gaps, marks = self.user_marks.split(text), self.user_marks.findall(text)
+            text = "".join(self.replaced(g) + m for g, m in zip(gaps, [*marks, ""]))
+        else:
+            text = self.replaced(text)
+        if self.squeeze:
+            text = re.sub("  +", " ", text.lstrip(" "))
+        if not text:
+            return ""
+        text = (MARK if self.prefix else "") + text.replace(" ", MARK)
+        return text.rstrip(MARK) if self.squeeze else text
+
+    def plain(self, text: str) -> str:
+        """What decoding the ids of text has to give back, if every character can be told."""
+        text = self.normalised(text).replace(MARK, " ")
+        return text.lstrip(" ") if self.squeeze else text.removeprefix(" ") if self.prefix else text
+
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging: the best-scored adjacent pair first, the leftmost of equals."""
         parts = list(text)
@@ -161,7 +244,7 @@ class Transducer:
                         arc = joined[base + piece] = self.weight(before, piece)
                     if so_far + arc < distance[end]:
                         distance[end], last[end], back[end] = so_far + arc, piece, begin
-            if text[begin] not in self.ids:  # it can still be read, as bytes
+            if text[begin] not in self.ids:  # it can still be read, as bytes or as unknown
                 d = so_far + self.weight(before, self.unknown)
                 if d < distance[begin + 1]:
                     distance[begin + 1], last[begin + 1], back[begin + 1] = d, self.unknown, begin
@@ -175,7 +258,7 @@ class Transducer:
         ids = array("I")
         for piece, end in self.shortest(stretch):
             if piece == self.unknown:
-                ids.extend(self.byte_ids[b] for b in stretch[end - 1].encode("utf-8", "replace"))
+                ids.extend([self.byte_ids[b] for b in stretch[end - 1].encode("utf-8", "replace")] if self.byte_ids else [self.unk])
             else:
                 ids.append(piece)
         return ids.tobytes()
@@ -194,14 +277,23 @@ class Transducer:
                 solved[p] = self.solve(p)
         return b"".join(map(solved.__getitem__, parts))
 
+    def marked(self, text: str) -> bytes:
+        """The ids of a normalised text: user-defined pieces of BPE models stand alone, the rest is made of stretches."""
+        if not (self.user and self.bpe):
+            return self.solve_all(self.stretches.findall(text))
+        gaps, marks = self.user_marks.split(text), self.user_marks.findall(text)
+        ids = [array("I", [self.user[m]]).tobytes() for m in marks]
+        return b"".join(self.solve_all(self.stretches.findall(g)) + i for g, i in zip(gaps, [*ids, b""]))
+
     def encode(self, text: str) -> array:
         """The ids of a text; none for the empty text."""
+        text = self.normalised(text)
         if not text:
             return array("I")
-        if not self.prefix or "  " in text or text[0] == " " or MARK in text:
-            return array("I", self.solve_all(self.stretches.findall((MARK if self.prefix else "") + text.replace(" ", MARK))))
-        # single spaces only: each word with its mark is made of whole stretches, and words recur
-        words, known = text.split(" "), self.words
+        if self.user or not self.prefix or MARK + MARK in text or len(text) == 1:
+            return self.without_runs(array("I", self.marked(text)))
+        # single marks only: each word with its mark is made of whole stretches, and words recur
+        words, known = text[1:].split(MARK), self.words
         new = set(words).difference(known)
         if new:
             if len(known) > self.kept:
@@ -209,13 +301,24 @@ class Transducer:
                 new = set(words)
             for w in new:
                 known[w] = self.solve_all(self.stretches.findall(MARK + w))
-        return array("I", b"".join(map(known.__getitem__, words)))
+        return self.without_runs(array("I", b"".join(map(known.__getitem__, words))))
+
+    def without_runs(self, ids: array) -> array:
+        """Without byte fallback, a run of unknown characters is one unknown piece."""
+        if self.byte_ids or self.unk not in ids:
+            return ids
+        return array("I", [x for i, x in enumerate(ids) if x != self.unk or not i or ids[i - 1] != self.unk])
 
     def decode(self, ids) -> str:
-        """The text of ids; the dummy prefix goes."""
-        pieces = self.pieces
-        text = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """The text of ids. The dummy prefix goes; where white space is removed, the mark of each piece goes until a text begins."""
+        parts = [self.pieces[i] for i in ids]
+        for k, i in enumerate(ids if self.prefix or self.squeeze else ()):
+            if i == self.unk:
+                break
+            marked, parts[k] = parts[k][:1] == b" ", parts[k].removeprefix(b" ")
+            if parts[k] or marked and not self.squeeze:
+                break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _compiled: dict[str, Transducer] = {}
@@ -256,7 +359,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """One row per row of docs: doc_id, n_ids, n_byte_ids, ids_crc32 (of the ids as little-endian 32-bit numbers), same.
 
-    same says whether decoding gives the text back, with the white-space mark read as a space. A null
+    same says whether decoding gives the normalised text back, with the white-space mark read as a space. A null
     text counts as empty. Repeated rows are answered one by one; a null doc_id stays null. Columns
     other than doc_id and text are not read. An empty table gives an empty result.
     """
@@ -270,7 +373,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
                 text = (raw or b"").decode("utf-8", "replace")
                 ids = coder.encode(text)
                 values = np.frombuffer(ids, np.uint32)
-                rows.append((len(ids), int(((values >= low) & (values <= high)).sum()), zlib.crc32(ids.tobytes()), coder.decode(ids) == text.replace(MARK, " ")))
+                rows.append((len(ids), int(((values >= low) & (values <= high)).sum()), zlib.crc32(ids.tobytes()), coder.decode(ids) == coder.plain(text)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "same"])

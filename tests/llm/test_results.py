@@ -336,6 +336,59 @@ def test_word_and_piece_ids_equal_the_libraries(text):
         assert ids == library.encode(text) and pieces.decode(ids) == library.decode(ids)
 
 
+def message(*parts):
+    """A protocol-buffer message of (field, value): whole numbers, bytes, or a 32-bit float."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for field, value in parts:
+        if isinstance(value, float):
+            out += varint(field << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(field << 3) + varint(value)
+        else:
+            out += varint(field << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def small_model(kind, rules, squeeze, fallback, user):
+    """A model of syllables, words and letters, scored by a rule; nothing is trained."""
+    import sentencepiece
+
+    letters = "▁abdefhinorstxfi1é"
+    words = [a + b for a in "▁thnr" for b in "aeio"] + ["▁the", "▁than", "the", "er", "▁er", "her", "tha", "than", "ra", "ro", "▁a", "in", "1a", "fi"]
+    pieces = list(dict.fromkeys([*letters, *words]))
+    rows = [message((1, b"<unk>"), (2, 0.0), (3, 2)), message((1, b"<s>"), (2, 0.0), (3, 3))]
+    rows += [message((1, f"<0x{i:02X}>".encode()), (2, 0.0), (3, 6)) for i in range(256)] if fallback else []
+    rows += [message((1, u.encode()), (2, 0.0), (3, 4)) for u in user]
+    rows += [message((1, p.encode()), (2, -1.0 - (i * i * 31 + i * 17) % 997 / 311 if kind == 1 else float(-i if len(p) > 1 else -100 - i))) for i, p in enumerate(pieces)]
+    charsmap = dict(piece_transducer.fields(dict(piece_transducer.fields(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()))[3])).get(2, b"") if rules else b""
+    trainer = message((3, kind), (35, int(fallback)), (40, 0), (41, 1))
+    return message(*[(1, r) for r in rows], (2, trainer), (3, message((1, b"own"), (2, charsmap), (3, 1), (4, int(squeeze)), (5, 1))))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rules, squeeze, fallback, user", [("nmt_nfkc", True, True, ()), ("nfkc_cf", False, False, ()), ("", True, False, ("<sep>", "the1")), ("nmt_nfkc", True, True, ("<sep>",))])
+def test_models_with_normalisers_and_user_pieces_equal_the_library(kind, rules, squeeze, fallback, user):
+    import sentencepiece
+
+    random.seed(kind)
+    model = small_model(kind, rules, squeeze, fallback, user)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), piece_transducer.Transducer(model)
+    parts = ["the", "than", " ", "  ", "er", "ﬁ", "ﬃ", "Ａ", "①", "e\u0301", "é", "\u00a0", "\t", "\n", "Z", "漢", "<sep>", "the1", "ra", "in", "▁", "x", "㌔", "\u200b", "H"]
+    for _ in range(400):
+        text = "".join(random.choices(parts, k=random.randint(0, 9)))
+        ids = own.encode(text).tolist()
+        assert ids == library.encode(text), text
+        assert own.decode(ids) == library.decode(ids), text
+
+
 def test_piece_queries_on_documents(spark, docs, texts):
     import sentencepiece
 
