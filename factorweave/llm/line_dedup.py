@@ -106,7 +106,7 @@ def later_copies(levels: list[DataFrame]) -> DataFrame:
     rows = [x.select(*PLACE, F.col("rank").alias("first"), F.inline("parts")) for x in levels]
     parts = reduce(DataFrame.unionByName, rows)
     key = ["m", "first", "last"]
-    met = parts.join(repeated(parts, key), key)
+    met = parts.join(checkpointed(repeated(parts, key)), key)  # with both sides plain, Spark splits a hot key
     apart = (F.col("d") != F.col("low.d")) | (F.col("h") != F.col("low.h")) | (F.col("pos") >= F.col("low.pos") + F.col("m"))
     return met.where(apart).select(*PLACE, "m")
 
