@@ -44,7 +44,7 @@ EXTRA = (3, 30)
 #: Classes left by step 2 (four longs each) up to which their table is broadcast to find their texts; beyond it both are shuffled.
 BROADCAST_CLASSES = 2_000_000
 #: Pass one: hubs of a shingle (half of them central, half by a hash), and partners of a class.
-HUBS, PARTNERS = 4, 8
+HUBS, PARTNERS = 4, 2
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
