@@ -64,6 +64,40 @@ def test_one_per_component_with_null_and_shared_ids(spark):
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept) == sorted([(1, base), (5, other), (0, lone), (0, ""), (7, pair)])
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, texts that share an id, and columns whose names the stages use inside."""
+    import random
+
+    import corpus_pipeline
+
+    random.seed(8)
+    vocabulary = ["".join(random.choices("etaoinshrdlu", k=random.randint(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(random.choices(vocabulary, k=n))
+    texts = [prose(random.randint(60, 300)) for _ in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [(3, texts[3], "en"), (90, texts[5], "en"), (91, texts[6] + " tail", "en"), (92, texts[7] + " mail bob@host.org", "en")]  # repeated, equal, near
+    rows += [(4, prose(80), "en"), (None, prose(90), "en"), (None, texts[8], "en"), (None, texts[9] + " tail", None), (93, prose(20_000), "en")]
+    junk = [(94, None, None), (95, "", "en"), (96, " \n\t", "en"), (97, "too short", "en"), (None, None, None), (98, "same words again " * 60, "en"), (99, "|&%$#| *** " * 300, "en")]
+    extra = [("n_chars", "long"), ("source", "string"), ("key", "long"), ("row", "string"), ("text_sha256", "string"), ("own", "int"), ("names", "string"), ("_keep", "long"), ("kept", "boolean")]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{n} {t}" for n, t in extra)
+    docs = spark.createDataFrame([(*r, *[None if t != "string" else f"v{i}" for _, t in extra]) for i, r in enumerate(rows + junk)], schema)
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, "").cache()
+        assert left.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), "").collect() == []
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["text"]) for r in left.collect())
+    gone = {3: 1, 5: 1, 91: 1, 92: 1}  # of id 3 one of two rows; 5 equals 90; 91 and 92 are near copies of 6 and 7
+    wanted = sorted((-1 if i is None else i, t) for i, t, _ in rows)
+    for i, n in gone.items():
+        for _ in range(n):
+            wanted.remove(next(w for w in wanted if w[0] == i))
+    wanted = [w for w in wanted if w not in ((-1, texts[8]), (-1, texts[9] + " tail"))]  # equal or near to documents with an id
+    assert [(i, t[:40]) for i, t in got if (i, t) not in wanted] == [(i, t[:40]) for i, t in wanted if (i, t) not in got] and got == wanted
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, "").collect()
+    assert sum(r["piece"] == 0 for r in packed) == len(got) and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").collect() == []
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, host string, text string"
     page = "<html><head><title>T</title></head><body><header>Top</header><div class='cookie-notice'>Cookies</div><main><h1>A &amp;\n B</h1><p>One <b>two</b><p>Three<br>four</main><div id=comments><p>No</p></div><form>f</form><script>var a='<p>x</p>'</script></body></html>"
