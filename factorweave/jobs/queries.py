@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel, regression, risk
 from ..sources import panel as source
+from ..sources.shared import new_folder, written
 from ..streaming import bars
 from . import stand_in, workloads
 from .stand_in import NAMES, table
@@ -18,29 +15,12 @@ from .stand_in import NAMES, table
 ROUND = 6
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-    return found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def over_returns(operator):
     """A query that hands prices and returns of the stand-in panel to operator and rounds its result."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        prices = stand_in.monthly(spark, sf_dir)
-        return workloads.rounded(operator(prices, panel.returns(prices)), ROUND)
+        prices, rets = stand_in.monthly_once(spark, sf_dir)
+        return workloads.rounded(operator(prices, rets), ROUND)
 
     return query
 
@@ -50,8 +30,9 @@ def sized(prices: DataFrame, rets: DataFrame) -> DataFrame:
 
 
 def fitted(prices: DataFrame, rets: DataFrame):
-    factors = stand_in.factors(prices, rets)
-    return factors, regression.ols(rets, factors, NAMES)
+    """Factors and fits; factors are a few rows a date, fits one an asset, and both are read in several branches."""
+    factors = written(stand_in.factors(prices, rets), "factors")
+    return factors, written(regression.ols(rets, factors, NAMES), "fit")
 
 
 def resid(prices: DataFrame, rets: DataFrame) -> DataFrame:
@@ -95,7 +76,7 @@ def p05_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p08_asof_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = stand_in.monthly(spark, sf_dir)
+    prices, _ = stand_in.monthly_once(spark, sf_dir)
     slow = prices.where(F.month("date") % 3 == 1).select("asset", F.date_add("date", 14).alias("date"), F.col("price").alias("quarter_price"))
     return panel.asof_attach(prices.select("asset", "date", "price"), slow, "quarter_price")
 

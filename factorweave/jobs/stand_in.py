@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel
+from ..sources.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,12 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.resample(daily(spark, sf_dir), "month", "ratio")
 
 
+def monthly_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Monthly prices, written once because regressions and factors read them in many branches, and their returns."""
+    prices = written(monthly(spark, sf_dir), "monthly")
+    return prices, panel.returns(prices)
+
+
 def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, date, ret) by month; the one gap gives a return over two months."""
     return panel.returns(monthly(spark, sf_dir))

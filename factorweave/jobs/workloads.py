@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel, regression, risk
+from ..sources.shared import written
 from . import stand_in
 
 
@@ -17,25 +18,22 @@ def market_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_exposures(spark: SparkSession, sf_dir: str, width: int = 24) -> DataFrame:
     """A: two-factor exposures over trailing windows."""
-    prices = stand_in.monthly(spark, sf_dir)
-    rets = panel.returns(prices)
+    prices, rets = stand_in.monthly_once(spark, sf_dir)
     return regression.rolling_ols(rets, stand_in.factors(prices, rets), stand_in.NAMES, width)
 
 
 def priced_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B: exposures, then cross-sections by date, then their means and t values."""
-    prices = stand_in.monthly(spark, sf_dir)
-    rets = panel.returns(prices)
+    prices, rets = stand_in.monthly_once(spark, sf_dir)
     fit = regression.ols(rets, stand_in.factors(prices, rets), stand_in.NAMES)
     return regression.fama_macbeth(rets, fit, stand_in.NAMES)
 
 
 def risk_and_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C: factor and residual variance of each asset."""
-    prices = stand_in.monthly(spark, sf_dir)
-    rets = panel.returns(prices)
-    factors = stand_in.factors(prices, rets)
-    fit = regression.ols(rets, factors, stand_in.NAMES)
+    prices, rets = stand_in.monthly_once(spark, sf_dir)
+    factors = written(stand_in.factors(prices, rets), "factors")
+    fit = written(regression.ols(rets, factors, stand_in.NAMES), "fit")
     resid = regression.residuals(rets, factors, fit, stand_in.NAMES)
     return risk.risk_split(risk.exposures_long(fit, stand_in.NAMES), risk.covariance(factors), resid)
 

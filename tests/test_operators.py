@@ -106,8 +106,8 @@ def test_covariance_blocks_make_the_whole_matrix(made):
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
-    from factorweave.jobs import queries
+    from factorweave.sources import shared
 
     cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
-        queries.shared_dir(cluster)
+        shared.shared_dir(cluster)
