@@ -90,7 +90,12 @@ class WordIds:
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self.whole(text)
-        words = (text if b"<|" in text else text.translate(LOWERED)).split()
+        return b"".join(self.words((text if b"<|" in text else text.translate(LOWERED)).split()))
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some words in lower case."""
+        if not self.by_word:
+            return list(map(self.whole, words))
         new = {w for w in words if w not in self.ids}
         if new:
             if len(self.ids) > self.kept:
@@ -102,7 +107,7 @@ class WordIds:
             for w, x in stems.items():
                 if w not in self.ids:
                     self.ids[w] = self.ids[x] + self.ids[w[len(x) :]]
-        return b"".join([self.ids[w] for w in words])
+        return [self.ids[w] for w in words]
 
 
 _encoders: dict[str, WordIds] = {}

@@ -63,12 +63,12 @@ def cuts(data: bytes) -> list[int]:
     return [*at, n]
 
 
-def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts in order, and each text's first place in them (one more at the end)."""
+def located_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Of all words of all texts in order: hashes, first places and ends in the joined texts; each text's first word (one more at the end); the joined texts."""
     data = b" ".join(t or b"" for t in texts)
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t or b"") + 1 for t in texts], out=offsets[1:])
-    hashes, places = [], []
+    hashes, places, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = cuts(data)
     for begin, end in zip(at, at[1:]):
         raw = np.frombuffer(data, np.uint8, end - begin, begin)
@@ -83,9 +83,15 @@ def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(TABLE[raw] * up[: len(raw)], out=sums[1:])
         hashes.append(mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
         places.append(first + begin)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+        ends.append(last + begin)
+    begins = np.concatenate(places)
+    return np.concatenate(hashes), begins, np.concatenate(ends), np.searchsorted(begins, offsets), data
+
+
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts in order, and each text's first place in them (one more at the end)."""
+    hashes, _, _, bounds, _ = located_words(texts)
+    return hashes, bounds
 
 
 def windows(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

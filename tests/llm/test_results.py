@@ -524,11 +524,13 @@ def test_lm_does_not_depend_on_the_layout(docs):
 
 
 def test_lm_classes_and_codes():
-    coder = lm_scoring.Coder(WORDS, 40)
-    words = [f"word{i % 50}x".encode() for i in range(200)] + [b"the", b"the", b"a"]
-    for _ in range(3):
-        assert coder.codes(words).tolist() == [coder.code(w) for w in words] and len(coder.newer) + len(coder.older) < 150
-    the = coder.code(b"the")
+    coder = lm_scoring.Coder(WORDS, 60)  # a store that starts anew
+    for k in range(4):
+        words = [f"word{i % 50 + k}x".encode() for i in range(200)] + [b"the", b"the", b"a"]
+        hashes, begins, ends, _, data = textkit.located_words([b" ".join(words)])
+        found, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        assert coder.codes(found, begins[first], ends[first], data)[of].tolist() == coder.encoded(words).tolist() and len(coder.hashes) <= 60
+    the = int(coder.encoded([b"the"])[0])
     assert the & 0xFFFF == the >> 16
     counts = np.zeros(attention.Vocabulary.IDS)
     counts[[the & 0xFFFF, 7, 9]] = 5, 3, 1
