@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, checkpointed, groups_by_bytes, one_of_repeats, text_bytes, unboxed, written
+from .common import boxed, checkpointed, groups_by_bytes, one_of_repeats, released, text_bytes, unboxed, written
 from .components import components
 from .textkit import LOWERED, hashed_words, mixed, windows
 
@@ -256,7 +256,10 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for extra in EXTRA:
         likely = checkpointed(likely_classes(chosen, likely, extra))
         chosen = texts_of_classes(rows, likely)
-    found = class_links(written(ordered_sets(full_sets(chosen)), "sets"))
+        released(docs.sparkSession)
+    ordered = written(ordered_sets(full_sets(chosen)), "sets")
+    released(docs.sparkSession)
+    found = class_links(ordered)
     return sets, classes.join(found.select(F.col("u").alias("a"), "v"), "a", "left").select("a", "b", F.coalesce("v", "a").alias("c"))
 
 
