@@ -10,11 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-    return found or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The folder that driver and executors share: the setting, or what setCheckpointDir has named; one of our own only in local mode without either, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None)
+    if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, which Spark's cleaner removes with the last reference."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
