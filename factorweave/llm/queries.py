@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fixity, jaccard_join, line_dedup, lm_scoring, ngram_quality, packing, pii, piece_transducer, simhash_join, wrapper_induction
+from . import conversation_trie, exact_dedup, fixity, jaccard_join, line_dedup, lm_scoring, ngram_quality, packing, pii, piece_transducer, simhash_join, wrapper_induction
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -70,9 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
         "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_fixity_audit": fixity.SQL, "op1_ngram_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op3_merkle_fixity_audit": fixity.SQL, "op1_ngram_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_conversation_prefix_trie": conversation_trie.SQL}
