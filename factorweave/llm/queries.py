@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, exact_dedup, fixity, jaccard_join, line_dedup, lm_scoring, ngram_quality, packing, pii, piece_transducer, simhash_join, wrapper_induction
+from . import conversation_trie, exact_dedup, fixity, jaccard_join, line_dedup, lm_scoring, ngram_quality, packing, pii, piece_transducer, ranked_search, simhash_join, wrapper_induction
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_join.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -75,9 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_conversation_prefix_trie": op11_conversation_prefix_trie,
+        "op12_ranked_search": op12_ranked_search,
         "op13_simhash_near_dedup": op13_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_fixity_audit": fixity.SQL, "op1_ngram_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_conversation_prefix_trie": conversation_trie.SQL}
+    return {"op3_merkle_fixity_audit": fixity.SQL, "op1_ngram_jaccard_join": jaccard_join.SQL, "op6_exact_dedup": exact_dedup.SQL, "op11_conversation_prefix_trie": conversation_trie.SQL, "op12_ranked_search": ranked_search.SQL}
