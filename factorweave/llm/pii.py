@@ -47,7 +47,7 @@ PATTERNS = {
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7})(?!\d)",
     "ip": r"(?<![\d.])(?<![vV])(?<![vV]ersion )" + r"\.".join([r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"] * 4) + r"(?!\d|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]\d{3,4}|\+(?=(?:[ .\-/()]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .\-/]?\(?\d{1,8}\)?){1,6})(?!\w)",
     "name": rf"(?<!\w){TITLES} {INITIALS}{{0,3}}(?:{NAME_WORD} {INITIALS}{{0,3}})?(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{NAME_WORD}",
 }
 #: Any entity. They all begin where no word goes on, which rules out most places at once.
@@ -59,6 +59,10 @@ SIGNS = ("Mr", "Ms", "Miss", "Mister", "Madam", "Sir ", "Lady", "Herr", "Frau",
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηου"}
 CONSONANTS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдзклмнпрст", "greek": "βγδζκλμνπρστφ"}
 ENDINGS = {"latin": ("o", "a", "is"), "cyrillic": ("ор", "на", "ин"), "greek": ("ος", "α", "ις")}
+#: One-letter words that texts have without meaning a name: behind a title they are replaced, elsewhere left.
+LETTER_WORDS = ("A", "E", "I", "O", "U", "Y", "À", "È", "И", "Я", "О", "У", "А", "К", "С", "В", "Η", "Ο")
+#: A name of one-letter parts only, in lower case.
+LETTERS_ONLY = r"^\p{L}\p{M}*(?:['’\-]\p{L}\p{M}*)*$"
 #: Letters whose order a key turns, for initials.
 ALPHABETS = (UPPER, "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 
@@ -151,7 +155,8 @@ def shaped(text: Column, of: Column, skip: Column) -> Column:
 def named(kind: Column, canonical: Column, of: Column, attempt: Column) -> Column:
     """An invented name in lower case, of the entity's script and, for given names, gender: syllables and an ending.
 
-    Hyphens, apostrophes and single letters stay. Later attempts are longer, so names never run out.
+    Hyphens, apostrophes and single letters beside longer parts stay; of a name of single letters the
+    first becomes another letter. Later attempts are longer, so names never run out.
     """
 
     def by_script(values: dict[str, Column]) -> Column:
@@ -160,11 +165,15 @@ def named(kind: Column, canonical: Column, of: Column, attempt: Column) -> Colum
     consonants, vowels = (by_script({k: F.lit(v) for k, v in x.items()}) for x in (CONSONANTS, VOWELS))
     ending = by_script({k: F.when(kind == "given_f", F.lit(f)).when(kind == "given_m", F.lit(m)).when(kind == "given", F.lit(n)).otherwise(F.lit("")) for k, (m, f, n) in ENDINGS.items()})
     places = F.sequence(F.lit(0), 6 + 2 * attempt)
+    alone = canonical.rlike(LETTERS_ONLY)
 
     def part(old: Column, i: Column) -> Column:
         letters = F.transform(places, lambda j: pick(F.when(j % 2 == 0, consonants).otherwise(vowels), byte(of, j + 11 * i)))
         joint = F.regexp_extract(old, "['’\\-]$", 0)
-        return F.when(F.length(old) - F.length(joint) < 2, old).otherwise(F.concat(F.array_join(letters, ""), ending, joint))
+        others = F.replace(F.concat(consonants, vowels), F.substring(old, 1, 1), F.lit(""))
+        letter = F.transform(F.sequence(F.lit(0), attempt), lambda j: pick(F.when(j == 0, others).when(j % 2 == 1, vowels).otherwise(consonants), byte(of, j)))
+        short = F.when(alone & (i == 0), F.concat(F.array_join(letter, ""), joint)).otherwise(old)
+        return F.when(F.length(old) - F.length(joint) < 2, short).otherwise(F.concat(F.array_join(letters, ""), ending, joint))
 
     return F.array_join(F.transform(F.split(canonical, "(?<=['’\\-])"), part), "")
 
@@ -257,7 +266,7 @@ def replacement(key: str, found: Column, names: Column, attempts: Column) -> Col
             F.when(kind == "email", F.when(found == F.upper(found), F.upper(v)).otherwise(v)).when(kind.isin("card", "ssn", "phone", "iban"), formatted(found, v)).otherwise(v)
         ))
         whole = F.concat(title_of(found), F.array_join(F.transform(name_tokens(found), name_token), " "))
-        return F.when(kind == "name", whole).when(kind == "word", name_token(found)).otherwise(first)
+        return F.when(kind == "name", whole).when(kind == "word", F.when(found.isin(*LETTER_WORDS), found).otherwise(name_token(found))).otherwise(first)
 
     return let(kind_of(found), shown)
 
@@ -291,20 +300,21 @@ def attempts_table(found: DataFrame, key: str, most: int = 50, make=surrogate) -
     """Rows (kind, canonical, attempt) of the entities that cannot take their first surrogate.
 
     Of entities with one surrogate the smallest canonical form takes it; the others, and those whose
-    surrogate is an entity that occurs, try again. Each round groups by surrogate, over all entities.
+    surrogate is an entity that occurs or has been taken, try again. A round computes surrogates and
+    groups by them for the entities that have none yet.
     """
-    held = checkpointed(found.withColumn("attempt", F.lit(0)))
-    real = found.select("kind", F.lower("canonical").alias("value")).withColumn("real", F.lit(True)).distinct()
+    real = found.select("kind", F.lower("canonical").alias("value")).distinct()
+    open_, taken = found.withColumn("attempt", F.lit(0)), real
+    moved = found.sparkSession.createDataFrame([], found.select("kind", "canonical").schema).withColumn("attempt", F.lit(0))
     for _ in range(most):
-        named_ = held.withColumn("value", F.lower(make(key, F.col("kind"), F.col("canonical"), F.col("attempt"))))
-        first = named_.groupBy("kind", "value").agg(F.min("canonical").alias("first"), F.count(F.lit(1)).alias("n"))
-        clash = first.join(real, ["kind", "value"], "left").where("n > 1 or real")
-        lost = named_.join(clash, ["kind", "value"]).where(F.coalesce("real", F.lit(False)) | (F.col("canonical") != F.col("first")))
-        lost = checkpointed(lost.select("kind", "canonical", F.lit(1).alias("more")))
-        if lost.isEmpty():
-            return held.where("attempt > 0")
-        again = held.join(lost, ["kind", "canonical"], "left")
-        held = checkpointed(again.select("kind", "canonical", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
+        named_ = checkpointed(open_.withColumn("value", F.lower(make(key, F.col("kind"), F.col("canonical"), F.col("attempt")))))
+        first = named_.groupBy("kind", "value").agg(F.min("canonical").alias("canonical"))
+        won = checkpointed(first.join(taken, ["kind", "value"], "left_anti"))
+        open_ = checkpointed(named_.join(won, ["kind", "value", "canonical"], "left_anti").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")))
+        moved = moved.unionByName(named_.where("attempt > 0").join(won, ["kind", "value", "canonical"]).select(moved.columns))
+        if open_.isEmpty():
+            return moved
+        taken = taken.unionByName(won.select("kind", "value"))
     raise RuntimeError(f"surrogates still collide after {most} attempts")
 
 
@@ -314,7 +324,9 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     n_entities counts the replaced places. A null text stays null with n_entities 0; an empty one stays
     empty. Repeated rows and ids are treated alike. An empty table gives an empty result. Other columns,
     whatever their names, are carried along; a column named n_entities is replaced. Names are found
-    behind a title only; a text that mentions a person without any title keeps the name.
+    behind a title only; a text that mentions a person without any title keeps the name. A name of one
+    letter is replaced by another letter, or more where letters run out; its mentions without a title
+    are too, unless the letter is a word of its own (A, I, ...).
     """
     held = checkpointed(occurrences(docs))
     moved = checkpointed(attempts_table(held.select("kind", "canonical").distinct(), key))
