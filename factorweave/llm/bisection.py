@@ -41,7 +41,7 @@ def bisected(doc: np.ndarray, term: np.ndarray, count: int, smallest: int, round
         total = np.bincount(entry, minlength=len(keys))
         shared = total > 1  # a term with one document in a bucket has none to be near, here and below
         keep = shared[entry]
-        doc, term, entry = doc[keep], term[keep], (np.cumsum(shared) - 1)[entry[keep]]
+        doc, term, entry = doc[keep], term[keep], (np.cumsum(shared) - 1).astype(np.int32)[entry[keep]]
         total, of = total[shared], keys[shared] // width
         n_left, n_right = (middles - begins)[of], np.maximum(1, ends - middles)[of]
         pairs = ends - middles

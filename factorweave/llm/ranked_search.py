@@ -35,8 +35,8 @@ TOP = 20
 #: Documents that a task offers for the sample, the terms that stand for such a document (those of least hash), and the sample's size.
 OFFERED, OFFERED_TERMS, SAMPLE = 64, 256, 2048
 REGIONS = 16
-#: Terms of a shard that are aimed at; a task cuts a larger one. Documents of a cluster at most.
-SHARD_TERMS, CLUSTER = 2_000_000, 256
+#: Terms of a shard that are aimed at; a task cuts one whose postings are more than that. Documents of a cluster at most.
+SHARD_TERMS, CLUSTER = 1_000_000, 256
 #: Bytes of query texts of a block, and clusters among which a task chooses the order of its visits.
 BLOCK_BYTES, CHOICE = 4 << 20, 32
 NO_ID = np.iinfo(np.int64).max
@@ -155,9 +155,10 @@ def clusters_of(rows: list[tuple], documents: int, all_terms: int, largest: int)
     """A shard's documents (doc_id, n, hashes, tfs) as clusters."""
     hashes = [np.frombuffer(r[2], np.uint64) for r in rows]
     sizes = [len(h) for h in hashes]
-    doc = np.repeat(np.arange(len(rows)), sizes)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     tf = np.concatenate([unpacked(r[3], n) for r, n in zip(rows, sizes)])
     names, term = np.unique(np.concatenate(hashes), return_inverse=True)
+    term = term.astype(np.int32)
     order, cuts = bisected(doc, term, len(rows), largest)
     place = np.empty(len(rows), np.int64)
     place[order] = np.arange(len(rows))
@@ -199,7 +200,7 @@ def build_index(docs: DataFrame, shard_terms: int = SHARD_TERMS, cluster: int =
         held, size, last = [], 0, None
         for batch in groups_by_bytes(batches, "hashes"):
             for region, shard, *row in zip(*(batch.column(c).to_pylist() for c in ("region", "shard", "doc_id", "n", "hashes", "tfs"))):
-                if held and ((region, shard) != last or size > 2 * shard_terms):
+                if held and ((region, shard) != last or size > shard_terms):
                     yield clusters_of(held, documents, all_terms, cluster)
                     held, size = [], 0
                 held.append(tuple(row))
