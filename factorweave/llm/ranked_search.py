@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bisection import bisected, spans
-from .common import checkpointed, groups_by_bytes, text_bytes, written
+from .common import checkpointed, groups_by_bytes, small_batches, text_bytes, written
 from .textkit import hashed_words
 
 TOP = 20
@@ -36,7 +36,7 @@ TOP = 20
 OFFERED, OFFERED_TERMS, SAMPLE = 64, 256, 2048
 REGIONS = 16
 #: Terms of a shard that are aimed at; a task cuts one whose postings are more than that. Documents of a cluster at most.
-SHARD_TERMS, CLUSTER = 1_000_000, 256
+SHARD_TERMS, CLUSTER = 500_000, 256
 #: Bytes of query texts of a block, and clusters among which a task chooses the order of its visits.
 BLOCK_BYTES, CHOICE = 4 << 20, 32
 NO_ID = np.iinfo(np.int64).max
@@ -210,7 +210,8 @@ def build_index(docs: DataFrame, shard_terms: int = SHARD_TERMS, cluster: int =
 
     rows = dealt(docs, regions, shards).repartition("region", "shard").sortWithinPartitions("region", "shard")
     found = rows.mapInArrow(run, CLUSTER_ROW).withColumn("cluster", F.monotonically_increasing_id())
-    return Index(written(found, "clusters"), documents, all_terms)
+    with small_batches(spark):
+        return Index(written(found, "clusters"), documents, all_terms)
 
 
 class Queries(NamedTuple):
@@ -409,8 +410,9 @@ def search(index: Index, items: DataFrame, top: int = TOP, block_bytes: int = BL
         if not own.num_rows:
             continue
         names = spark.createDataFrame(pa.table({"query": pa.array(range(own.num_rows), pa.int32()), "item_id": own.column("item_id")}))
-        found = search_block(index, own.column("text").to_pylist(), top)
-        out = out.unionByName(checkpointed(found.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")))  # a block's names
+        with small_batches(spark):
+            found = search_block(index, own.column("text").to_pylist(), top)
+            out = out.unionByName(checkpointed(found.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")))  # a block's names
     return out
 
 
