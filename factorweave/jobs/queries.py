@@ -87,8 +87,7 @@ def p07_excess(prices: DataFrame, rets: DataFrame) -> DataFrame:
 
 
 def p30_pca(prices: DataFrame, rets: DataFrame) -> DataFrame:
-    assets = [r["asset"] for r in rets.where("asset is not null").select("asset").distinct().orderBy("asset").collect()]
-    return risk.pca_factors(rets, assets, 3)
+    return risk.pca_factors(rets, None, 3)
 
 
 def ticks(events: DataFrame) -> DataFrame:

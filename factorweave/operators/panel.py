@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import carried, met, numbered
+from ..functions.selection import quantiles
+from ..sources.shared import checkpointed
+
 
 def by_asset():
     return Window.partitionBy("asset").orderBy("date")
@@ -19,14 +23,17 @@ def resample(prices: DataFrame, freq: str = "month", how: str = "last") -> DataF
 
 
 def missing_cells(panel: DataFrame, calendar: DataFrame) -> DataFrame:
-    """(asset, date) pairs of the calendar without a row, by gaps between neighbouring rows; no pair that exists is made."""
-    dates = calendar.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))  # one row a date
-    count = dates.count()
-    there = panel.select("asset", "date").distinct().join(dates, "date").select("asset", "i")
-    ends = panel.select("asset").distinct().select("asset", F.explode(F.array(F.lit(0), F.lit(count + 1))).alias("i"))
+    """(asset, date) pairs of the calendar without a row, by gaps between neighbouring rows; no pair that exists is made.
+
+    Dates are numbered over ranges, and gaps before an asset's first row and behind its last are found by the numbers of the first and last date.
+    """
+    dates = checkpointed(numbered(calendar.select("date").where("date is not null").distinct(), [], ["date"]).select("date", F.col("_n").alias("i"), F.col("_total").alias("count")))
+    there = panel.select("asset", "date").distinct().join(dates, "date").select("asset", "i", "count")
+    ends = panel.select("asset").distinct().crossJoin(F.broadcast(dates.where("i = 1").select("count")))  # one row
+    ends = ends.select("asset", F.explode(F.array(F.lit(0).cast("long"), F.col("count") + 1)).alias("i"))
     ahead = F.lead("i").over(Window.partitionBy("asset").orderBy("i"))
-    gaps = there.unionByName(ends).withColumn("next", ahead).where("next > i + 1")
-    return gaps.select("asset", F.explode(F.sequence(F.col("i") + 1, F.col("next") - 1)).alias("i")).join(dates, "i").select("asset", "date")
+    gaps = there.select("asset", "i").unionByName(ends).withColumn("next", ahead).where("next > i + 1")
+    return gaps.select("asset", F.explode(F.sequence(F.col("i") + 1, F.col("next") - 1)).alias("i")).join(dates.select("i", "date"), "i").select("asset", "date")
 
 
 def returns(prices: DataFrame, kind: str = "simple", step: Column | None = None) -> DataFrame:
@@ -52,23 +59,26 @@ def excess(rets: DataFrame, riskfree: DataFrame) -> DataFrame:
 def asof_attach(panel: DataFrame, slow: DataFrame, column: str) -> DataFrame:
     """panel with the last value of column in slow at or before each date, per asset; NULL before the first.
 
-    A union ordered by date, looked-up rows first on equal dates, so one shuffle and one window serve.
+    A union in the order of asset and date, looked-up rows first on equal dates, dealt by ranges of that
+    order: an asset of any size is many tasks, each of which takes over the value that the one before it
+    held last. A looked-up NULL is a value.
     """
     looked = slow.select("asset", "date", F.struct(F.col(column)).alias("_held"), F.lit(0).alias("_side"))
     own = [c for c in panel.columns if c not in ("asset", "date")]
     rows = panel.select("asset", "date", F.struct(*own, F.lit(1).alias("_own")).alias("_row"), F.lit(1).alias("_side"))
-    window = Window.partitionBy("asset").orderBy("date", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = looked.unionByName(rows, allowMissingColumns=True)
-    found = both.withColumn("_last", F.last("_held", ignorenulls=True).over(window)).where("_side = 1")
+    found = carried(both, ["asset"], ["date", "_side", F.xxhash64("_row", "_held")], "_held").where("_side = 1")
     return found.select("asset", "date", *[F.col(f"_row.{c}") for c in own], F.col(f"_last.{column}"))
 
 
 def winsorize(df: DataFrame, column: str, low: float, high: float, accuracy: int | None = None) -> DataFrame:
-    """column clipped to its percentiles of the date: exact ones, or approximate ones for very large cross-sections."""
-    at = (lambda q: F.percentile(column, q)) if accuracy is None else (lambda q: F.percentile_approx(column, q, accuracy))
-    limits = df.groupBy("date").agg(at(low).alias("_low"), at(high).alias("_high"))
+    """column clipped to its percentiles of the date: exact ones, or approximate ones by sketches of an accuracy."""
+    if accuracy is None:
+        limits = quantiles(df.select("date", column), ["date"], column, {"_low": low, "_high": high})
+    else:
+        limits = df.groupBy("date").agg(*[F.percentile_approx(column, q, accuracy).alias(n) for n, q in (("_low", low), ("_high", high))])
     clipped = F.when(F.col(column).isNotNull(), F.greatest("_low", F.least("_high", column)))
-    return df.join(limits, "date").withColumn(column, clipped).drop("_low", "_high")
+    return met(df, limits, ["date"], "left").withColumn(column, clipped).drop("_low", "_high").select(df.columns)
 
 
 def zscore(df: DataFrame, column: str) -> DataFrame:
@@ -92,10 +102,18 @@ def market_factor(rets: DataFrame, weight: str | None = None) -> DataFrame:
 
 
 def sorted_portfolios(df: DataFrame, column: str, k: int) -> DataFrame:
-    """(date, bucket, n, ret): each date's assets in k buckets by column, ties by asset, and their mean return."""
-    bucket = F.ntile(k).over(Window.partitionBy("date").orderBy(column, "asset"))
-    held = df.where(F.col(column).isNotNull() & F.col("ret").isNotNull())
-    return held.withColumn("bucket", bucket).groupBy("date", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("ret"))
+    """(date, bucket, n, ret): each date's assets in k buckets by column, ties by asset, and their mean return.
+
+    A row's place in its date is counted over ranges of (date, column, asset), so a cross-section of any
+    size is many tasks; place and count give the bucket as ntile does: the first ones hold one more.
+    """
+    held = df.where(F.col(column).isNotNull() & F.col("ret").isNotNull()).select("date", F.col(column).alias("_by"), "asset", "ret")
+    small, more = F.floor(F.col("_total") / k), F.col("_total") % k
+    of_more = more * (small + 1)
+    place = F.col("_n") - 1
+    bucket = F.when(place < of_more, F.floor(place / (small + 1))).otherwise(more + F.floor((place - of_more) / F.greatest(small, F.lit(1)))) + 1
+    told = numbered(held, ["date"], ["_by", "asset"]).withColumn("bucket", bucket.cast("int"))
+    return told.groupBy("date", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("ret"))
 
 
 def long_short(portfolios: DataFrame, name: str = "spread") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.moments import moments, rolled, system
+from ..functions.ranges import numbered
 from ..functions.solve import solve_gram
+from ..sources.shared import checkpointed
 from .panel import widened
 
 
@@ -22,49 +25,46 @@ def beta(rets: DataFrame, factor: DataFrame) -> DataFrame:
 
 
 def rolling_beta(rets: DataFrame, factor: DataFrame, width: int) -> DataFrame:
-    """(asset, date, beta): the slope over the last ``width`` rows, NULL until there are so many."""
-    window = Window.partitionBy("asset").orderBy("date").rowsBetween(-(width - 1), 0)
-    full = F.count("ret").over(window) == width
-    return with_factor(rets, factor).select("asset", "date", F.when(full, F.regr_slope("ret", "x").over(window)).alias("beta"))
+    """(asset, date, beta): the slope over the last ``width`` rows, NULL until there are so many returns and for a constant factor."""
+    told = rolled(with_factor(rets, factor), "asset", "date", ["x", "ret"], width)
+    slope = F.when((F.col("_rolled.n") == width) & (F.col("_rolled.c_0_0") > 0), F.col("_rolled.c_0_1") / F.col("_rolled.c_0_0"))
+    return told.select("asset", "date", slope.alias("beta"))
 
 
-def sums(names: list[str], over=None) -> tuple[Column, Column, Column]:
-    """Gram matrix by rows of intercept and factors, its right side, and the count; each product is summed once."""
-    columns = [F.lit(1.0), *map(F.col, names)]
-    total = (lambda c: F.sum(c).over(over)) if over is not None else F.sum
-    products = {(i, j): total(a * b) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j}
-    gram = F.array(*[products[min(i, j), max(i, j)] for i in range(len(columns)) for j in range(len(columns))])
-    right = F.array(*[total(c * F.col("ret")) for c in columns])
-    count = F.count(F.lit(1)).over(over) if over is not None else F.count(F.lit(1))
-    return gram, right, count
+def fitted(of: Column, names: list[str], when: Column) -> Column:
+    """The slopes of ret on names, of moments of names and ret; NULL unless when."""
+    gram, right = system(of, len(names))
+    return F.when(when, solve_gram(gram, right))
 
 
-def unpacked(fit: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    return fit.select(*keys, "n", F.col("x")[0].alias("alpha"), *[F.col("x")[i].alias(f"beta_{n}") for i, n in enumerate(names, 1)])
+def unpacked(fit: DataFrame, keys: list[str], names: list[str], prefix: str = "beta_", intercept: str = "alpha") -> DataFrame:
+    """Intercept and slopes of rows with moments _of and slopes x."""
+    k = len(names)
+    alpha = F.col(f"_of.m_{k}")
+    for i in range(k):
+        alpha = alpha - F.col("x")[i] * F.col(f"_of.m_{i}")
+    return fit.select(*keys, F.col("_of.n").alias("n"), alpha.alias(intercept), *[F.col("x")[i].alias(f"{prefix}{n}") for i, n in enumerate(names)])
 
 
 def ols(rets: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:
-    """Per asset: n, alpha and a beta per factor. Sums are aggregated natively; only k x k systems reach Python.
+    """Per asset: n, alpha and a beta per factor. Centred sums are aggregated natively; only k x k systems reach Python.
 
-    NULL coefficients for collinear factors or fewer rows than coefficients.
+    NULL coefficients for collinear or constant factors and for no more rows than coefficients but one.
     """
-    gram, right, count = sums(names)
     held = rets.where("ret is not null").join(widened(factors, names), "date")
-    added = held.groupBy("asset").agg(gram.alias("g"), right.alias("r"), count.alias("n"))
-    enough = F.when(F.col("n") > len(names), solve_gram("g", "r"))
-    return unpacked(added.withColumn("x", enough), ["asset"], names)
+    added = held.groupBy("asset").agg(moments([*names, "ret"]).alias("_of"))
+    return unpacked(added.withColumn("x", fitted(F.col("_of"), names, F.col("_of.n") > len(names))), ["asset"], names)
 
 
 def rolling_ols(rets: DataFrame, factors: DataFrame, names: list[str], width: int) -> DataFrame:
     """Per asset and date: the fit over the last ``width`` rows, NULL until there are so many.
 
-    The frames are summed directly, not as differences of running sums, which would lose digits.
+    Frames are merged of two running blocks, so their cost does not grow with width, and no running
+    sums are subtracted, which would lose digits.
     """
-    window = Window.partitionBy("asset").orderBy("date").rowsBetween(-(width - 1), 0)
-    gram, right, count = sums(names, window)
     held = rets.where("ret is not null").join(widened(factors, names), "date")
-    added = held.select("asset", "date", gram.alias("g"), right.alias("r"), count.alias("n"))
-    return unpacked(added.withColumn("x", F.when(F.col("n") == width, solve_gram("g", "r"))), ["asset", "date"], names)
+    told = rolled(held, "asset", "date", [*names, "ret"], width).withColumnRenamed("_rolled", "_of")
+    return unpacked(told.withColumn("x", fitted(F.col("_of"), names, F.col("_of.n") == width)), ["asset", "date"], names)
 
 
 def residuals(rets: DataFrame, factors: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
@@ -78,18 +78,18 @@ def residuals(rets: DataFrame, factors: DataFrame, fit: DataFrame, names: list[s
 
 def idio_vol(resid: DataFrame, width: int) -> DataFrame:
     """(asset, date, vol): the sample deviation of the last ``width`` residuals, NULL until there are so many."""
-    window = Window.partitionBy("asset").orderBy("date").rowsBetween(-(width - 1), 0)
-    full = F.count("residual").over(window) == width
-    return resid.select("asset", "date", F.when(full, F.stddev_samp("residual").over(window)).alias("vol"))
+    told = rolled(resid, "asset", "date", ["residual"], width)
+    dev = F.sqrt(F.greatest(F.lit(0.0), F.col("_rolled.c_0_0")) / F.nullif(F.col("_rolled.n") - 1, F.lit(0)))
+    return told.select("asset", "date", F.when(F.col("_rolled.n") == width, dev).alias("vol"))
 
 
 def cross_sections(rets: DataFrame, exposures: DataFrame, names: list[str]) -> DataFrame:
     """(date, n, lambda_...): each date's regression of returns on exposures (asset, beta_...)."""
     betas = [f"beta_{n}" for n in names]
-    gram, right, count = sums(betas)
     held = rets.where("ret is not null").join(exposures.dropna(subset=betas).select("asset", *betas), "asset")
-    added = held.groupBy("date").agg(gram.alias("g"), right.alias("r"), count.alias("n")).withColumn("x", F.when(F.col("n") > len(names), solve_gram("g", "r")))
-    return added.select("date", "n", F.col("x")[0].alias("lambda_0"), *[F.col("x")[i].alias(f"lambda_{n}") for i, n in enumerate(names, 1)])
+    added = held.groupBy("date").agg(moments([*betas, "ret"]).alias("_of"))
+    solved = added.withColumn("x", fitted(F.col("_of"), betas, F.col("_of.n") > len(names)))
+    return unpacked(solved, ["date"], names, "lambda_", "lambda_0")
 
 
 def fama_macbeth(rets: DataFrame, exposures: DataFrame, names: list[str]) -> DataFrame:
@@ -101,15 +101,16 @@ def fama_macbeth(rets: DataFrame, exposures: DataFrame, names: list[str]) -> Dat
 
 
 def newey_west(series: DataFrame, column: str, lags: int) -> DataFrame:
-    """One row: n, mean, its variance with Bartlett weights, and t. series has one row per date, so one task orders it."""
-    mean = series.agg(F.avg(column).alias("_mean"))
-    centred = series.where(F.col(column).isNotNull()).join(F.broadcast(mean)).select("date", (F.col(column) - F.col("_mean")).alias("e"), "_mean")
-    order = Window.orderBy("date")
-    products = [F.sum(F.col("e") * F.col(f"e{k}")).alias(f"g{k}") for k in range(1, lags + 1)]
-    lagged = centred.select("*", *[F.lag("e", k).over(order).alias(f"e{k}") for k in range(1, lags + 1)])
-    total = lagged.agg(F.count(F.lit(1)).alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("e") * F.col("e")).alias("g0"), *products)
-    long = F.col("g0")
-    for k in range(1, lags + 1):
-        long = long + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"g{k}"), F.lit(0.0))
-    out = total.select("n", "mean", (long / F.col("n") / F.col("n")).alias("variance"))
+    """One row: n, mean, its variance with Bartlett weights, and t; no rows without a value.
+
+    Dates are numbered over ranges, and each value meets those up to ``lags`` behind it by number.
+    """
+    held = series.where(F.col(column).isNotNull()).select("date", F.col(column).alias("v"))
+    rows = checkpointed(numbered(held, [], ["date", "v"]))
+    mean = rows.agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    centred = rows.crossJoin(F.broadcast(mean)).select("_n", (F.col("v") - F.col("mean")).alias("e"))  # mean is one row
+    behind = centred.select(F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("k"), (F.col("_n")).alias("_at"), F.col("e").alias("f")).withColumn("_n", F.col("_at") + F.col("k"))
+    weight = F.when(F.col("k") == 0, 1.0).otherwise(2 * (1 - F.col("k") / (lags + 1)))
+    total = centred.join(behind, "_n").agg(F.sum(weight * F.col("e") * F.col("f")).alias("long"))
+    out = mean.crossJoin(total).where("n > 0").select("n", "mean", (F.col("long") / F.col("n") / F.col("n")).alias("variance"))
     return out.withColumn("t", F.when(F.col("variance") > 0, F.col("mean") / F.sqrt("variance")))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import principal_components
+
 
 def pairwise(series: DataFrame, key: str, value: str, how, name: str) -> DataFrame:
     """A statistic of each pair of series (key, date, value) on their common dates, keys in order.
 
-    The result has a row per pair of keys, so it is meant for factors; assets go block by block.
+    A row per date and pair is made on the way, so it is meant for factors; tiles.covariance_matrix is for assets.
     """
     held = with_values(series, key, value)
     return paired(held, held, F.col("x.k") <= F.col("y.k"), how, name)
@@ -76,18 +76,10 @@ def attribution_rollup(attributed: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.rollup("grp", "asset", "factor").agg(F.sum("contribution").alias("contribution"), F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
-def pca_factors(rets: DataFrame, assets: list[str], k: int) -> DataFrame:
-    """(component, share, asset, loading): the k leading components of dates on which all assets have returns.
+def pca_factors(rets: DataFrame, assets: list[str] | None, k: int) -> DataFrame:
+    """(component, share, asset, loading): the k leading components of all assets, or of those named.
 
-    Loadings have the sign that makes their sum positive. MLlib sums the assets x assets Gram matrix
-    over the dates in Spark and decomposes it on the driver, and the plan has an aggregate per asset,
-    so this is for some hundred assets.
+    By subspace iteration on tiles of the pairwise complete covariance matrix; see tiles.principal_components.
     """
-    wide = rets.groupBy("date").agg(*[F.max(F.when(F.col("asset") == a, F.col("ret"))).alias(f"a{i}") for i, a in enumerate(assets)]).dropna()
-    vectors = wide.select(array_to_vector(F.array(*[F.col(f"a{i}") for i in range(len(assets))])).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    weights, shares = model.pc.toArray(), model.explainedVariance.toArray()
-    rows = [(c + 1, float(shares[c]), a, float(weights[i, c] * (1 if weights[:, c].sum() >= 0 else -1))) for c in range(k) for i, a in enumerate(assets)]
-    return rets.sparkSession.createDataFrame(rows, "component int, share double, asset string, loading double")
-
-
+    held = rets if assets is None else rets.where(F.col("asset").isin(assets))
+    return principal_components(held, k)
