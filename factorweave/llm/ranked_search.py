@@ -84,11 +84,10 @@ def surveyed(docs: DataFrame) -> DataFrame:
 
 
 class Regions(NamedTuple):
-    """Sorted terms of the sample, the bits that each takes in each region, and the regions' shares of all terms."""
+    """Sorted terms of the sample, and the bits that each takes in each region."""
 
     terms: np.ndarray
     costs: np.ndarray
-    shares: np.ndarray
 
     def of(self, hashes: np.ndarray) -> int:
         """The region where a document's terms take the fewest bits."""
@@ -96,8 +95,8 @@ class Regions(NamedTuple):
         return int(self.costs[at[self.terms[at] == hashes]].sum(axis=0).argmin())
 
 
-def regions_of(sample: list[tuple[int, bytes]], count: int = REGIONS) -> Regions:
-    """Regions by bisection of sampled documents (number of terms, hashes of some)."""
+def regions_of(sample: list[tuple[int, bytes]], count: int = REGIONS) -> tuple[Regions, np.ndarray]:
+    """Regions by bisection of sampled documents (number of terms, hashes of some), and the share of the sample's terms that goes to each."""
     held = [np.frombuffer(h, np.uint64) for _, h in sample]
     sizes = np.array([n for n, _ in sample], float)
     doc = np.repeat(np.arange(len(held)), [len(h) for h in held])
@@ -108,8 +107,8 @@ def regions_of(sample: list[tuple[int, bytes]], count: int = REGIONS) -> Regions
     n = np.diff(cuts)
     counts = np.bincount(term * len(n) + region[doc], minlength=len(terms) * len(n)).reshape(-1, len(n))
     several = found > 1 if (found > 1).any() else np.ones(len(found), bool)
-    shares = np.bincount(region, weights=sizes, minlength=len(n)) / sizes.sum()
-    return Regions(terms[several], -np.log2((counts[several] + 0.1) / (n + 1)).astype(np.float32), shares)
+    regions = Regions(terms[several], -np.log2((counts[several] + 0.1) / (n + 1)).astype(np.float32))
+    return regions, np.bincount([regions.of(h) for h in held], weights=sizes, minlength=len(n)) / sizes.sum()
 
 
 def dealt(docs: DataFrame, regions: Regions, shards: np.ndarray) -> DataFrame:
@@ -181,20 +180,8 @@ def clusters_of(rows: list[tuple], documents: int, all_terms: int, largest: int)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], [c.split()[0] for c in CLUSTER_ROW.split(", ")])
 
 
-def build_index(docs: DataFrame, shard_terms: int = SHARD_TERMS, cluster: int = CLUSTER, sample: int = SAMPLE) -> Index:
-    """The index of all documents with a term. The driver holds the sample; a task one shard, or a part of a shard that is larger than aimed at.
-
-    A null text has no terms. A null doc_id stays null. Rows that repeat are documents of their own.
-    """
-    spark = docs.sparkSession
-    seen = checkpointed(surveyed(docs))
-    counted = seen.where("key is null").agg(F.sum("docs"), F.sum("terms")).first()
-    documents, all_terms = counted[0] or 0, counted[1] or 0
-    if not documents:
-        return Index(spark.createDataFrame([], f"cluster long, {CLUSTER_ROW}"), 0, 0)
-    offers = seen.where("key is not null").orderBy("key").limit(sample).select("terms", "hashes").toArrow()
-    regions = regions_of(list(zip(offers.column("terms").to_pylist(), offers.column("hashes").to_pylist())))
-    shards = np.maximum(1, np.ceil(regions.shares * all_terms / shard_terms)).astype(int)
+def clustered(rows: DataFrame, documents: int, all_terms: int, shard_terms: int, cluster: int) -> DataFrame:
+    """The clusters of rows sorted by region and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -208,9 +195,26 @@ def build_index(docs: DataFrame, shard_terms: int = SHARD_TERMS, cluster: int =
         if held:
             yield clusters_of(held, documents, all_terms, cluster)
 
-    rows = dealt(docs, regions, shards).repartition("region", "shard").sortWithinPartitions("region", "shard")
-    found = rows.mapInArrow(run, CLUSTER_ROW).withColumn("cluster", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, CLUSTER_ROW)
+
+
+def build_index(docs: DataFrame, shard_terms: int = SHARD_TERMS, cluster: int = CLUSTER, sample: int = SAMPLE) -> Index:
+    """The index of all documents with a term. The driver holds the sample; a task one shard, or a part of a shard that is larger than aimed at.
+
+    A null text has no terms. A null doc_id stays null. Rows that repeat are documents of their own.
+    """
+    spark = docs.sparkSession
     with small_batches(spark):
+        seen = checkpointed(surveyed(docs))
+        counted = seen.where("key is null").agg(F.sum("docs"), F.sum("terms")).first()
+        documents, all_terms = counted[0] or 0, counted[1] or 0
+        if not documents:
+            return Index(spark.createDataFrame([], f"cluster long, {CLUSTER_ROW}"), 0, 0)
+        offers = seen.where("key is not null").orderBy("key").limit(sample).select("terms", "hashes").toArrow()
+        regions, shares = regions_of(list(zip(offers.column("terms").to_pylist(), offers.column("hashes").to_pylist())))
+        shards = np.maximum(1, np.ceil(shares * all_terms / shard_terms)).astype(int)
+        rows = dealt(docs, regions, shards).repartition("region", "shard").sortWithinPartitions("region", "shard")
+        found = clustered(rows, documents, all_terms, shard_terms, cluster).withColumn("cluster", F.monotonically_increasing_id())
         return Index(written(found, "clusters"), documents, all_terms)
 
 
