@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import panel, regression, risk
-from ..sources.shared import written
+from ..sources.panel import write_panel
+from ..sources.shared import new_folder, written
 from . import stand_in
 
 
@@ -17,9 +18,11 @@ def market_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_exposures(spark: SparkSession, sf_dir: str, width: int = 24) -> DataFrame:
-    """A: two-factor exposures over trailing windows."""
+    """A: two-factor exposures over trailing windows, stored by year and read back."""
     prices, rets = stand_in.monthly_once(spark, sf_dir)
-    return regression.rolling_ols(rets, stand_in.factors(prices, rets), stand_in.NAMES, width)
+    path = f"{new_folder(spark, 'exposures')}/panel"
+    write_panel(regression.rolling_ols(rets, stand_in.factors(prices, rets), stand_in.NAMES, width), path)
+    return spark.read.parquet(path)
 
 
 def priced_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +32,22 @@ def priced_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.fama_macbeth(rets, fit, stand_in.NAMES)
 
 
-def risk_and_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C: factor and residual variance of each asset."""
+def risk_and_attribution(spark: SparkSession, sf_dir: str, width: int = 12) -> DataFrame:
+    """C: what the factors gave each group, asset and factor, and beside each asset its variances and its latest residual deviation.
+
+    Rows of other levels than an asset's own have no variances.
+    """
     prices, rets = stand_in.monthly_once(spark, sf_dir)
     factors = written(stand_in.factors(prices, rets), "factors")
     fit = written(regression.ols(rets, factors, stand_in.NAMES), "fit")
-    resid = regression.residuals(rets, factors, fit, stand_in.NAMES)
-    return risk.risk_split(risk.exposures_long(fit, stand_in.NAMES), risk.covariance(factors), resid)
+    resid = written(regression.residuals(rets, factors, fit, stand_in.NAMES), "residuals")
+    exposures = risk.exposures_long(fit, stand_in.NAMES)
+    split = risk.risk_split(exposures, risk.covariance(factors), resid)
+    latest = regression.idio_vol(resid, width).groupBy("asset").agg(F.max_by("vol", "date").alias("vol"))
+    groups = fit.select("asset", F.substring("asset", 1, 7).alias("grp"))
+    total = risk.attribution_rollup(risk.attribution(exposures, factors), groups)
+    of_asset = split.join(latest, "asset").withColumn("level", F.lit(1).cast("long"))
+    return total.join(of_asset, ["asset", "level"], "left")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
