@@ -63,6 +63,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.ids, self.by_word = Tokenizer.from_file(path), kept, {}, True
+        self.parting: dict[str, bool] = {}
         self.by_word = all(self.encode(p.encode()) == self.whole(p.encode()) for p in self.PROBES)
 
     def whole(self, text: bytes) -> bytes:
@@ -83,10 +84,17 @@ class WordIds:
     def stem(self, word: bytes) -> bytes:
         """The word without trailing punctuation where that parts from it in any case, else the word."""
         out = word.rstrip(self.TRAILING)
-        if out == word or not out or b"'" in word or b"<|" in word or not out.decode("utf-8", "replace")[-1].isalpha():
+        if out == word or not out or b"'" in word or b"<|" in word or not self.parts(out.decode("utf-8", "replace")[-1]):
             return word
         return out
 
+    def parts(self, last: str) -> bool:
+        """Whether punctuation parts from a word that ends in this character: a letter that normalising leaves as it is, and does not turn into a letter and a mark."""
+        if last not in self.parting:
+            normaliser = self.tokenizer.normalizer
+            self.parting[last] = last.isalpha() and (normaliser is None or normaliser.normalize_str(last) == last)
+        return self.parting[last]
+
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self.whole(text)
