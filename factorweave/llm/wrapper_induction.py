@@ -51,6 +51,17 @@ STRONG_WORDS = frozenset(
 WEAK_WORDS = frozenset(
     "banner banners header masthead modal notice notices notification popup promo promoted promotion recommended related share sharing sidebar social toolbar topbar widget widgets".split()
 )
+#: Words for readers' answers that may also name a part of an article; inside a main element they say nothing.
+ANSWER_WORDS = frozenset("discussion responses".split())
+#: Words that only place or frame a thing. A mark joined to any other word (ad-hoc, editor-comment, menu-plan) names something else.
+FRAME_WORDS = frozenset(
+    "area article bar block bottom box boxes btn button card center col column container content count cta desktop drawer entry fixed float form global grid group head heading holder icon inline inner item items js "
+    "label layer left level line link links list lists main mobile module nested new note outer page pane panel placeholder policy popup post posts primary right row secondary section sections settings side signup "
+    "site slot small sticky story sub tag tags text thread title toggle top unit user users view widget wrap wrapper zone".split()
+)
+#: Elements whose text is prose even if all of it is a link.
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption td".split())
+FORM_TAGS = frozenset("form fieldset".split())
 STRONG_ROLES = frozenset("navigation contentinfo search dialog alert".split())
 WEAK_ROLES = frozenset("banner complementary form".split())
 #: A class that begins so is about the layout around such a thing.
@@ -63,17 +74,25 @@ TAG = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*(?:>|\Z))",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?![\w\-])", re.I)
+UNSEEN = re.compile(r"\b(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+
+
+def marked(words: list[str], marks: frozenset[str]) -> bool:
+    """Whether a name's words are one of the marks, alone or with other marks and words that frame it; digits and single letters do not count."""
+    return not marks.isdisjoint(words) and all(len(w) == 1 or w in FRAME_WORDS or w in STRONG_WORDS or w in WEAK_WORDS or w in ANSWER_WORDS for w in words)
 
 
 class Node:
     """An element: label for matching, marks, children (nodes and texts), and the folded node it belongs to."""
 
-    __slots__ = ("children", "folded", "heading", "label", "main", "strong", "tag", "weak")
+    __slots__ = ("children", "folded", "heading", "hidden", "label", "main", "strong", "tag", "weak")
 
     def __init__(self, tag: str, attributes: str = "", in_main: bool = False):
-        self.tag, self.children, self.folded, self.heading, self.main = tag, [], -1, False, False
+        self.tag, self.children, self.folded, self.heading, self.main, self.hidden = tag, [], -1, False, False, False
         self.strong, self.weak = tag in STRONG_TAGS, tag in WEAK_TAGS and not (tag == "header" and in_main)
         first = ""
         if attributes:
@@ -83,18 +102,25 @@ class Node:
                     self.strong |= value in STRONG_ROLES
                     self.weak |= value in WEAK_ROLES
                     continue
+                if key.lower() == "style":
+                    self.hidden |= UNSEEN.search(value) is not None
+                    continue
                 first = first or "-".join(WORD.findall(value))
                 for name in value.split():
                     words = WORD.findall(name)
                     if words and words[0] not in LAYOUT:
-                        self.strong |= not STRONG_WORDS.isdisjoint(words)
-                        self.weak |= not WEAK_WORDS.isdisjoint(words)
+                        self.strong |= marked(words, STRONG_WORDS)
+                        self.weak |= marked(words, WEAK_WORDS) or not in_main and marked(words, ANSWER_WORDS)
+            if "hidden" in attributes.lower():
+                self.hidden |= HIDDEN.search(QUOTED.sub("", attributes)) is not None
         self.label = f"{tag}.{first}" if first else tag
 
     def aside(self, rich: set[int]) -> bool:
         """Whether it is none of the content; rich has the folded nodes that hold most of the changing text."""
         if self.tag in ("html", "body"):
             return False
+        if self.hidden:
+            return True
         if self.tag in MAIN_TAGS:
             return self.strong and not self.heading
         if self.strong:
@@ -121,7 +147,7 @@ def parse(page: str) -> Node:
         if not m["tag"]:
             continue
         tag, end, inline = m["tag"].lower(), m["end"], False
-        if tag in INLINE:
+        if tag in INLINE or tag == "label" and FORM_TAGS.isdisjoint(x.tag for x in stack):
             if tag == "br":
                 stack[-1].children.append(" ")
             if tag == "a":
@@ -129,12 +155,14 @@ def parse(page: str) -> Node:
             inside = any(x.tag == tag for x in stack)  # of an inline aside, so its end has to be found
             inline = not end and (inside or bool(m["attributes"])) and tag not in VOID
             node = Node(tag, m["attributes"]) if inline else None
-            if not (inside and end) and not (inline and (inside or node.strong)):
+            if inline and tag == "label":
+                node.strong = False
+            if not (inside and end) and not (inline and (inside or node.strong or node.hidden)):
                 continue
         if end:
             if tag == "html" or tag == "body":
                 continue
-            if tag not in INLINE:
+            if tag not in INLINE and tag != "label":
                 link = False
             if tag in deep:
                 while deep.pop() != tag:
@@ -278,7 +306,7 @@ def blocks(node: Node, gone: set[int], rich: set[int], out: list[tuple[str, bool
     run: list[str] = []
     for c in [*node.children, END]:
         if isinstance(c, Node):
-            if c.tag in INLINE:  # an inline aside: what stands around it is one block
+            if c.tag in INLINE or c.tag == "label" and c.hidden:  # an inline aside: what stands around it is one block
                 continue
         elif c is not END:
             run.append(c)
@@ -286,7 +314,7 @@ def blocks(node: Node, gone: set[int], rich: set[int], out: list[tuple[str, bool
         if run:
             text = clean("".join(run))
             if text:
-                linked = sum(len(x) for x in run if isinstance(x, Link))
+                linked = 0 if node.tag in PROSE_TAGS else sum(len(x) for x in run if isinstance(x, Link))
                 out.append((text, inside, linked / max(1, sum(map(len, run)))))
         run = []
         if isinstance(c, Node):
