@@ -1,11 +1,8 @@
-"""Helpers that several operators share: text rules, shared storage and Arrow batches."""
+"""Helpers that several operators share: text rules and Arrow batches; storage as in sources.shared."""
 
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed, shared_dir, written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -52,43 +51,12 @@ def one_of_repeats(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     return rows.join(repeats, "key", "left_anti").unionByName(several)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only in local mode where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        set_already = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_already.isDefined():
-            return set_already.get()
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which Spark's cleaner removes with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of steps that are done: it learns of them when the driver collects its garbage."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again; the folder goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
     """Arrow batches of at most so many bytes for the jobs that run inside: wide rows are held by JVM and Python worker several times over."""
