@@ -83,6 +83,13 @@ def surveyed(docs: DataFrame) -> DataFrame:
     return docs.select(text_bytes().alias("text")).mapInArrow(run, "docs long, terms long, key long, hashes binary")
 
 
+def chosen_offers(seen: DataFrame, sample: int) -> DataFrame:
+    """Rows (terms, hashes) of the offered documents of least key, ``sample`` at most, copies once. Only keys are sorted; the rows of the least are looked up."""
+    keys = seen.select("key").where("key is not null").distinct().orderBy("key").limit(sample)
+    last = keys.agg(F.max("key")).first()[0]
+    return seen.where(F.col("key") <= last).dropDuplicates(["key"]).orderBy("key").select("terms", "hashes")
+
+
 class Regions(NamedTuple):
     """Sorted terms of the sample, and the bits that each takes in each region."""
 
@@ -210,7 +217,7 @@ def build_index(docs: DataFrame, shard_terms: int = SHARD_TERMS, cluster: int =
         documents, all_terms = counted[0] or 0, counted[1] or 0
         if not documents:
             return Index(spark.createDataFrame([], f"cluster long, {CLUSTER_ROW}"), 0, 0)
-        offers = seen.where("key is not null").orderBy("key").limit(sample).select("terms", "hashes").toArrow()
+        offers = chosen_offers(seen, sample).toArrow()
         regions, shares = regions_of(list(zip(offers.column("terms").to_pylist(), offers.column("hashes").to_pylist())))
         shards = np.maximum(1, np.ceil(shares * all_terms / shard_terms)).astype(int)
         rows = dealt(docs, regions, shards).repartition("region", "shard").sortWithinPartitions("region", "shard")
