@@ -133,10 +133,18 @@ def shard_links(rows: DataFrame, radius: int = RADIUS, leaf_size: int = LEAF) ->
     return rows.repartition("leaf").sortWithinPartitions("leaf", "visitor").mapInArrow(run, "a long, b long")
 
 
+def sampled(points: DataFrame, total: int, sample: int) -> DataFrame:
+    """Rows (fp) of the fingerprints of least hash, ``sample`` at most. Hashes beyond what twice as many would need are left out before any are sorted."""
+    hashed = points.select("fp", F.xxhash64("fp").alias("h"))
+    if total > 2 * sample:
+        hashed = hashed.where(F.col("h") < -(1 << 63) + (2 * sample << 64) // total)
+    return hashed.orderBy("h", "fp").limit(sample).select("fp")
+
+
 def near_links(points: DataFrame, sample: int = SAMPLE, shard: int = SHARD, radius: int = RADIUS, leaf_size: int = LEAF) -> DataFrame:
     """Rows (a, b) whose components are those of all pairs of distinct fingerprints within the radius."""
     total = points.count()
-    taken = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).toArrow().column("fp").to_numpy().view(np.uint64)
+    taken = sampled(points, total, sample).toArrow().column("fp").to_numpy().view(np.uint64)
     leaf = max(LEAST_SAMPLED, shard * len(taken) // max(1, total))
     return shard_links(routed(points, VantageTree(taken, leaf, radius)), radius, leaf_size)
 

@@ -101,3 +101,10 @@ def test_a_very_long_text_and_ties():
     long_text = " ".join(f"w{i % 977}" for i in range(200_000))
     assert S.majority(S.shingle_hashes(long_text.encode())) == S.majority(np.concatenate([S.shingle_hashes(long_text.encode())] * 2))
     assert len(S.shingle_hashes(long_text.encode())) == 199_998
+
+
+def test_the_sample_is_bounded_and_the_least_hashes(spark):
+    points = spark.range(0, 5000).selectExpr("id * 7919 as fp").repartition(6)
+    want = [r["fp"] for r in points.orderBy(S.F.xxhash64("fp")).limit(100).collect()]
+    assert [r["fp"] for r in S.sampled(points, 5000, 100).collect()] == want
+    assert S.sampled(points, 5000, 4000).count() == 4000
