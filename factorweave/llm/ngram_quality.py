@@ -2,11 +2,12 @@
 
 A modified Kneser-Ney model over characters, one per language, is counted by Spark over all
 documents. Languages are the values of ``lang``; rows without one, and languages of fewer than
-LEAST_DOCS rows, share a model and a band, as so few rows give neither. Characters fall into 64
-classes: letters by their base letter, every ASCII symbol on its own, capitals, digits, space,
-boundary and the rest. An n-gram's hash is its classes in base 64, so a model of order n has at most
-64**n entries per language however large the corpus is. It is broadcast as sorted hash arrays with
-their probabilities and searched by bisection.
+LEAST_DOCS rows, share a model and a band, as so few rows give neither. Every character counts as
+itself: the symbols of a text are its UTF-16 units, one for a character and two beyond U+FFFF, and the
+hash of an n-gram of order 4 is its units side by side, 64 bits, so no two n-grams share one. A model
+holds every n-gram of its language's texts and grows with them. It is broadcast as sorted hash arrays
+with their probabilities and searched by bisection. The same code also takes the alphabet CLASSED of 64
+classes of characters, which is small enough to try every n-gram.
 
 Perplexity is taken per word that holds a letter: minus the log10 probability of the whole text, over
 those words. Whatever stands between words or hangs on them is so paid for by the words, and a text of
@@ -20,7 +21,8 @@ soup, the lower one text that strings a few forms together.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import boxed, checkpointed, groups_by_bytes, text_bytes, unboxed
 from .textkit import hashed_words, windows
 
-CLASSES = 64
 ORDER = 4
 BOUNDARY, SPACE, DIGIT, CAPITAL, LETTER_A, SYMBOLS_FROM, OTHER = 0, 1, 2, 3, 4, 30, 62
 ASCII_SYMBOLS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -77,23 +78,47 @@ def classes(text: str) -> np.ndarray:
     return TABLE[points]
 
 
-def gram_keys(texts: list[bytes | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: the hash of the n-gram that ends at each character and at one boundary after the text; each text's first hash (one more at the end); its words with a letter.
+def units(text: str) -> np.ndarray:
+    """A text's UTF-16 units."""
+    return np.frombuffer(text.encode("utf-16-le", "replace"), "<u2")
+
+
+class Alphabet(NamedTuple):
+    """The symbols of an n-gram model: how many bits one takes, those of a text, and the class of each by its number."""
+
+    bits: int
+    symbols: Callable[[str], np.ndarray]
+    kinds: np.ndarray
+
+
+CLASSED = Alphabet(6, classes, np.arange(64, dtype=np.int32))
+#: Beyond the table all units are letters, as in classes().
+UNITS = Alphabet(16, units, np.concatenate([TABLE, np.full((1 << 16) - len(TABLE), LETTER_A, np.int32)]))
+
+
+def key_type(bits: int) -> type:
+    return np.int32 if bits < 31 else np.int64
+
+
+def gram_keys(texts: list[bytes | None], order: int = ORDER, alphabet: Alphabet = CLASSED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: the hash of the n-gram that ends at each symbol and at one boundary after the text; each text's first hash (one more at the end); its words with a letter.
 
     Boundaries stand before each text.
     """
+    if order * alphabet.bits > 64:
+        raise ValueError(f"{order} symbols of {alphabet.bits} bits do not fit into 64 bits")
     whole = [(t or b"").decode("utf-8", "replace") for t in texts]
     gap = "\n" * (order - 1)
-    symbols = classes(gap + gap.join(whole) + gap) if order > 1 else classes("\n".join(whole) + "\n")
-    key = np.zeros(len(symbols) - max(order - 1, 0), np.int32 if CLASSES**order < 1 << 31 else np.int64)
+    symbols = alphabet.symbols(gap + gap.join(whole) + gap) if order > 1 else alphabet.symbols("\n".join(whole) + "\n")
+    key = np.zeros(len(symbols) - max(order - 1, 0), key_type(order * alphabet.bits))
     for k in range(order):
-        key *= CLASSES
-        key += symbols[k : k + len(key)]
-    sizes = np.array([len(t) + 1 for t in whole], np.int64)
+        key <<= alphabet.bits
+        key |= symbols[k : k + len(key)]
+    sizes = np.array([len(alphabet.symbols(t)) + 1 for t in whole], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes + max(order - 2, 0))[:-1]]) if len(sizes) else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
     at = np.repeat(begins - first[:-1], sizes) + np.arange(first[-1])
-    own = symbols[max(order - 1, 0) :][at]  # each text's characters and its end
+    own = alphabet.kinds.take(symbols[max(order - 1, 0) :][at])  # of each text's symbols and its end
     letter, word = (own >= CAPITAL) & (own < SYMBOLS_FROM), np.cumsum(own <= SPACE)
     seen = word[letter]
     new = np.concatenate([seen[:1] >= 0, seen[1:] != seen[:-1]])  # the first letter of each word: ends part texts
@@ -124,7 +149,7 @@ def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray,
     return found, np.bincount(at, np.concatenate(times)).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, order: int = ORDER, own: frozenset[str] | None = None) -> DataFrame:
+def count_grams(docs: DataFrame, order: int = ORDER, own: frozenset[str] | None = None, alphabet: Alphabet = CLASSED) -> DataFrame:
     """Rows (pool, gram, n): how often each n-gram of the highest order occurs, over all documents."""
     own = languages(docs) if own is None else own
 
@@ -137,7 +162,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, own: frozenset[str] | None
         for part in groups_by_bytes(batches, "text"):
             texts = part.column("text").to_pylist()
             for p, at in by_pool(part, own).items():
-                keys, n = np.unique(gram_keys([texts[i] for i in at], order)[0], return_counts=True)
+                keys, n = np.unique(gram_keys([texts[i] for i in at], order, alphabet)[0], return_counts=True)
                 lists = held.setdefault(p, ([], []))
                 lists[0].append(keys)
                 lists[1].append(n)
@@ -153,11 +178,11 @@ def count_grams(docs: DataFrame, order: int = ORDER, own: frozenset[str] | None
     return rows_of(docs).mapInArrow(count, "pool string, gram long, n long").groupBy("pool", "gram").agg(F.sum("n").alias("n"))
 
 
-def counts_by_order(grams: DataFrame, order: int = ORDER) -> DataFrame:
+def counts_by_order(grams: DataFrame, order: int = ORDER, bits: int = CLASSED.bits) -> DataFrame:
     """Rows (pool, k, gram, n): counts of order k; below the highest, in how many contexts an n-gram continues."""
     found, level = [grams.withColumn("k", F.lit(order))], grams
     for k in range(order - 1, 0, -1):
-        level = level.groupBy("pool", F.pmod("gram", F.lit(CLASSES**k)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        level = level.groupBy("pool", F.col("gram").bitwiseAND(F.lit((1 << bits * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
         found.append(level.withColumn("k", F.lit(k)))
     columns = ["pool", "k", "gram", "n"]
     out = found[0].select(columns)
@@ -166,7 +191,7 @@ def counts_by_order(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return out
 
 
-def model_table(counts: DataFrame) -> DataFrame:
+def model_table(counts: DataFrame, bits: int = CLASSED.bits) -> DataFrame:
     """Rows (pool, k, gram, share, backoff): a discounted share for each n-gram and, for each context, the weight of the lower order.
 
     Modified Kneser-Ney: discounts D1, D2, D3+ from the counts of counts of each order, with the
@@ -181,7 +206,7 @@ def model_table(counts: DataFrame) -> DataFrame:
         return F.greatest(F.lit(0.1), F.least(d, F.lit(i - 0.1))).alias(f"d{i}")
 
     discounts = F.broadcast(discounts.select("pool", "k", *map(discount, (1, 2, 3))))
-    rows = counts.join(discounts, ["pool", "k"]).withColumn("context", F.floor(F.col("gram") / CLASSES).cast("long"))
+    rows = counts.join(discounts, ["pool", "k"]).withColumn("context", F.shiftrightunsigned("gram", bits))
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     totals = rows.groupBy("pool", "k", "context").agg(F.sum("n").alias("total"), F.sum(cut).alias("freed"))
     return rows.join(totals, ["pool", "k", "context"]).select(
@@ -192,25 +217,33 @@ def model_table(counts: DataFrame) -> DataFrame:
 class Model:
     """Per pool and order, sorted arrays of n-gram hashes and of contexts, with probabilities and back-off weights as log10."""
 
-    def __init__(self, table: pa.Table, order: int = ORDER):
-        self.order, self.pools = order, {}
-        pools, ks = np.array(table.column("pool").to_pylist(), object), table.column("k").to_numpy()
+    def __init__(self, table: pa.Table, order: int = ORDER, bits: int = CLASSED.bits):
+        self.order, self.bits, self.pools = order, bits, {}
+        pools = table.column("pool").combine_chunks().dictionary_encode()
+        names, of, ks = pools.dictionary.to_pylist(), pools.indices.to_numpy(), table.column("k").to_numpy()
         grams, shares, backoffs = (table.column(c).to_numpy() for c in ("gram", "share", "backoff"))
-        for p in sorted(set(pools.tolist())):
-            lower_keys, lower, levels = np.zeros(1, np.int64), np.array([1.0 / CLASSES]), []
+        for number, p in sorted(enumerate(names), key=lambda x: x[1]):
+            lower_keys, lower, levels = np.zeros(1, np.int64), np.array([0.5**bits]), []
             for k in range(1, order + 1):
-                own = np.flatnonzero((pools == p) & (ks == k))
+                own = np.flatnonzero((of == number) & (ks == k))
                 own = own[np.argsort(grams[own])]
                 keys, share, backoff = grams[own], shares[own], backoffs[own]
-                below = lower[np.searchsorted(lower_keys, keys % CLASSES ** (k - 1))] if k > 1 else lower[0]
-                contexts, at = np.unique(keys // CLASSES, return_index=True)
+                below = lower[np.searchsorted(lower_keys, self.shorter(keys, k))] if k > 1 else lower[0]
+                contexts, at = np.unique(self.context(keys), return_index=True)
                 lower_keys, lower = keys, share + backoff * below
-                kind = np.int32 if CLASSES**k < 1 << 31 else np.int64
-                levels.append((keys.astype(kind), np.log10(lower), contexts.astype(kind), np.log10(backoff[at])))
+                levels.append((keys.astype(key_type(bits * k)), np.log10(lower), contexts.astype(key_type(bits * k)), np.log10(backoff[at])))
             self.pools[p] = levels
 
+    def context(self, keys: np.ndarray) -> np.ndarray:
+        """The hashes of n-grams without their last symbols."""
+        return keys >> self.bits & (1 << 64 - self.bits) - 1 if keys.dtype == np.int64 else keys >> self.bits
+
+    def shorter(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """The hashes of n-grams of order k without their first symbols."""
+        return keys & (1 << self.bits * (k - 1)) - 1
+
     def log10(self, p: str, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last class of each n-gram given those before it; unseen n-grams back off."""
+        """log10 probability of the last symbol of each n-gram given those before it; unseen n-grams back off."""
         value, left, part = np.zeros(len(keys)), np.arange(len(keys)), keys
         for k in range(self.order if p in self.pools else 0, 0, -1):
             grams, prob, contexts, backoff = self.pools[p][k - 1]
@@ -220,10 +253,11 @@ class Model:
             left, part = left[~known], part[~known]
             if not len(left):
                 return value
-            c = np.minimum(np.searchsorted(contexts, part // CLASSES), len(contexts) - 1)
-            value[left] += np.where(contexts[c] == part // CLASSES, backoff[c], 0.0)
-            part = part % CLASSES ** (k - 1)
-        value[left] -= np.log10(CLASSES)
+            context = self.context(part)
+            c = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            value[left] += np.where(contexts[c] == context, backoff[c], 0.0)
+            part = self.shorter(part, k)
+        value[left] -= self.bits * np.log10(2)
         return value
 
 
@@ -250,7 +284,7 @@ def repeated(texts: list[bytes | None], width: int = 3) -> np.ndarray:
 BASE = "doc_id long, key long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lettered long, log10_prob double"
 
 
-def score(docs: DataFrame, model: Model, own: frozenset[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, own: frozenset[str], alphabet: Alphabet = CLASSED) -> DataFrame:
     """One row per row of docs with its key, its pool as band, the base figures and the log10 probability of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -261,7 +295,7 @@ def score(docs: DataFrame, model: Model, own: frozenset[str]) -> DataFrame:
             again, out = repeated(texts), []
             bands, lettered, logs = [REST] * len(texts), np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for p, at in by_pool(part, own).items():
-                keys, first, n = gram_keys([texts[i] for i in at], model.order)
+                keys, first, n = gram_keys([texts[i] for i in at], model.order, alphabet)
                 sums = np.concatenate([[0.0], np.cumsum(model.log10(p, keys))])
                 lettered[at], logs[at] = n, sums[first[1:]] - sums[first[:-1]]
                 for i in at:
@@ -286,13 +320,13 @@ def own_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_bytes())
 
 
-def judged(docs: DataFrame, order: int, width_low: float, width_high: float) -> DataFrame:
+def judged(docs: DataFrame, order: int, width_low: float, width_high: float, alphabet: Alphabet = CLASSED) -> DataFrame:
     """The rows of score() with log10_ppl, its band's lower and upper, and kept."""
     own = languages(docs)
-    counts = checkpointed(counts_by_order(checkpointed(count_grams(docs, order, own)), order))
-    model = Model(model_table(counts).toArrow(), order)
+    counts = checkpointed(counts_by_order(checkpointed(count_grams(docs, order, own, alphabet)), order, alphabet.bits))
+    model = Model(model_table(counts, alphabet.bits).toArrow(), order, alphabet.bits)
     figure = -F.col("log10_prob") / F.greatest("n_lettered", F.lit(1))
-    scored = checkpointed(score(docs, model, own).withColumn("log10_ppl", figure))
+    scored = checkpointed(score(docs, model, own, alphabet).withColumn("log10_ppl", figure))
     passed = scored.where(~F.col("base_failed"))
     middle = passed.groupBy("band").agg(F.percentile_approx("log10_ppl", 0.5).alias("middle"))
     apart = passed.join(F.broadcast(middle), "band").withColumn("apart", F.col("log10_ppl") - F.col("middle"))
@@ -309,10 +343,10 @@ def quality_report(docs: DataFrame, order: int = ORDER, width_low: float = WIDTH
     A null or empty text has no words, so it fails the base rules; its perplexity is that of one
     boundary. A null or empty language, or one of fewer than LEAST_DOCS rows, belongs to the pool REST.
     Repeated rows are judged one by one. Columns other than doc_id, lang and text are not read. An empty
-    table gives an empty result. Counting covers every document; the driver holds the models, whose size
-    CLASSES, order and the number of languages bound.
+    table gives an empty result. Counting covers every document; the driver holds the models, which have a
+    row for every n-gram of any order. The order is 4 at most.
     """
-    return judged(docs, order, width_low, width_high).select(
+    return judged(docs, order, width_low, width_high, UNITS).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.col("log10_ppl").alias("log10_perplexity"), F.col("lower").alias("log10_lower"), F.col("upper").alias("log10_upper"),
     )
@@ -324,6 +358,6 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     Rows are told apart by id, language and text, through a 64-bit hash; a null id is an id like any
     other, and all of the rows that repeat all three stay or go together.
     """
-    kept = judged(docs, ORDER, WIDTH_LOW, WIDTH_HIGH).where("kept").select(F.col("key").alias("own")).distinct()
+    kept = judged(docs, ORDER, WIDTH_LOW, WIDTH_HIGH, UNITS).where("kept").select(F.col("key").alias("own")).distinct()
     rows = boxed(docs, key=own_key())
     return unboxed(rows.join(kept, rows["key"] == kept["own"], "left_semi"), docs.columns)
