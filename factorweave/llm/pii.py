@@ -14,8 +14,8 @@ A name is found behind a title. Every other capitalised mention of one of its wo
 document, before or after, is replaced by the same surrogate.
 
 Surrogates of first attempts are computed in place. Only documents that hold a moved entity get
-their attempts through a join, which Spark broadcasts if it measures that table as small enough and
-shuffles otherwise.
+their attempts through a join with a table of those documents. It is written first, so Spark knows its size
+and broadcasts it if small enough; otherwise all texts are shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, boxed, checkpointed, unboxed
+from .common import LOWER, UPPER, boxed, checkpointed, unboxed, written
 
 KEY = "surrogates"
 # Titles before names, by gender.
@@ -337,6 +337,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     else:
         entry = F.struct(F.concat_ws("|", "kind", "canonical"), "attempt")
         of_doc = held.join(moved, ["kind", "canonical"]).groupBy("own").agg(F.map_from_entries(F.collect_list(entry)).alias("told"))
+        of_doc = written(of_doc, "attempts")  # its size is then known before Spark chooses the join, which else shuffles all texts
         rows = rows.join(of_doc, "own", "left").withColumn("attempts", F.coalesce("told", none))
     titled = F.filter("found", lambda m: title_of(m) != "")
     words = F.array_sort(F.array_distinct(F.flatten(F.transform(titled, name_entities))), lambda x, y: F.when(x["kind"] > y["kind"], -1).when(x["kind"] < y["kind"], 1).otherwise(0))
