@@ -11,7 +11,13 @@ Both learn from the documents whose crc32(doc_id) mod 7 is not 2, all of them an
   texts, cut as for scoring; Spark then averages the copies, weighted by the blocks they saw. So each
   word and each text's end is a target exactly once.
 
-The model's probability of a word is that of its class from the attention model times the word's
+With ``subwords`` a position of the model is one subword id and whether it ends its word; every id of
+every word is read and predicted, one after another. The probability of a position is that of its
+class from the attention model times its share of the class, (c + 1) / (N + V), with the class's own N
+and V, its positions in training and all that the vocabulary allows; so all texts' probabilities sum
+to one. Otherwise a position is a word, read through its first and last id only.
+
+The model's probability of a word is then that of its class from the attention model times the word's
 share of the class, (c + 1) / (N + V + 1) with the class's own N and V.
 
 Scoring goes over whole texts in blocks of overlapping windows. Words too rare for the table that
@@ -102,6 +108,77 @@ def coder_of(vocabulary: str) -> Coder:
     return _coders[vocabulary]
 
 
+class Speller:
+    """Subword ids of words, each different word encoded once; a bounded store as sorted arrays."""
+
+    def __init__(self, vocabulary: str, kept: int = CODED):
+        self.ids_of, self.kept = coder_of(vocabulary).ids_of, kept
+        self.hashes, self.starts, self.sizes, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def places(self, hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of different words start and how many they are, given the words' sorted hashes and places in data. A word without any has SAME."""
+        if len(self.hashes) + len(hashes) > self.kept:
+            self.hashes, self.starts, self.sizes, self.pool = self.hashes[:0], self.starts[:0], self.sizes[:0], self.pool[:0]
+        at = np.searchsorted(self.hashes, hashes)
+        new = at == len(self.hashes)
+        new[~new] = self.hashes[at[~new]] != hashes[~new]
+        words = [x or SAME.to_bytes(4, "little") for x in self.ids_of.words([data[b:e] for b, e in zip(begins[new].tolist(), ends[new].tolist())])]
+        sizes = np.array([len(x) // 4 for x in words], np.int64)
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(words), "<u4").astype(np.uint16)])
+        self.hashes, self.starts, self.sizes = (np.insert(a, at[new], b) for a, b in ((self.hashes, hashes[new]), (self.starts, starts), (self.sizes, sizes)))
+        at = np.searchsorted(self.hashes, hashes)
+        return self.starts[at], self.sizes[at]
+
+    def spelt(self, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words at these places, one word after another, and whether each id ends its word."""
+        behind = np.cumsum(sizes)
+        final = np.zeros(behind[-1] if len(behind) else 0, bool)
+        final[behind - 1] = True
+        return self.pool[np.repeat(starts - behind + sizes, sizes) + np.arange(len(final))], final
+
+
+_spellers: dict[str, Speller] = {}
+
+
+def speller_of(vocabulary: str) -> Speller:
+    """The speller of this Python worker."""
+    if vocabulary not in _spellers:
+        _spellers[vocabulary] = Speller(vocabulary)
+    return _spellers[vocabulary]
+
+
+#: Positions of the model on subword ids are numbered id + FINAL if the id ends its word, id if not.
+FINAL = 1 << 16
+
+
+def packed(ids: np.ndarray, final: np.ndarray) -> bytes:
+    """17 bits for each position."""
+    return ids.astype("<u2").tobytes() + np.packbits(final).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Position numbers."""
+    n = 8 * len(data) // 17
+    return np.frombuffer(data, "<u2", n).astype(np.int64) + np.unpackbits(np.frombuffer(data, np.uint8, offset=2 * n), count=n).astype(np.int64) * FINAL
+
+
+class Subwords(attention.Vocabulary):
+    """Classes of positions that are subword ids: one that ends its word stands as a word of one id, another as a word that begins with SAME."""
+
+    def __init__(self, n: np.ndarray, size: int):
+        """How often each position number occurs in the training texts, and how many ids the vocabulary has."""
+        inside, final = n[:FINAL], n[FINAL:]
+        read = inside + 2 * final
+        read[SAME] += inside.sum()
+        super().__init__(read, final, inside)
+        ids = np.arange(FINAL)
+        self.of = np.concatenate([self.codes(SAME | ids << 16), self.codes(ids | ids << 16)])
+        allowed = np.tile((ids < size) | (ids == SAME), 2)
+        self.n_in, self.kinds_in = (np.bincount(self.of >> 32, x, attention.OUTPUTS) for x in (n, allowed))
+        self.logs = np.log10(n + 1) - np.log10(np.maximum(self.n_in + self.kinds_in, 1))[self.of >> 32]
+
+
 class Counted:
     """Counts of words by hash, with their codes, that a task adds up."""
 
@@ -124,15 +201,19 @@ class Counted:
 CODES = "doc_id long, key long, training boolean, text binary, codes binary, word long, code long, n long"
 
 
-def coded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """A row for each row of docs with its text and its words' codes, and rows (word, code, n) of the training words that a task has counted; word is a hash."""
+def coded(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame:
+    """A row for each row of docs with its text and its words' codes, and rows (word, code, n) of the training words that a task has counted; word is a hash.
+
+    With subwords, codes are the packed positions, and rows (code, n) without a word count them.
+    """
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_bytes()).alias("key"), (fold(F.col("doc_id")) != HELD_OUT).alias("training"), text_bytes().alias("text"))
     names = [x.split()[0] for x in CODES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory_kept()
-        coder, counted = coder_of(vocabulary), Counted()
+        coder, counted, positions = coder_of(vocabulary), Counted(), np.zeros(2 * FINAL, np.int64)
+        speller = speller_of(vocabulary) if subwords else None
 
         def out() -> pa.RecordBatch:
             hashes, codes, n = counted.total()
@@ -142,18 +223,31 @@ def coded(docs: DataFrame, vocabulary: str) -> DataFrame:
         for part in groups_by_bytes(batches, "text"):
             hashes, begins, ends, bounds, data = located_words(lowered(part))
             found, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-            own = coder.codes(found, begins[first], ends[first], data)
-            codes = own[of]
-            training = np.repeat(part.column("training").to_numpy(zero_copy_only=False), np.diff(bounds))
+            learnt = part.column("training").to_numpy(zero_copy_only=False)
+            training = np.repeat(learnt, np.diff(bounds))
+            if speller:
+                own = np.zeros(len(found), np.uint32)
+                starts, sizes = speller.places(found, begins[first], ends[first], data)
+                ids, final = speller.spelt(starts[of], sizes[of])
+                places = np.concatenate([[0], np.cumsum(sizes[of])])[bounds]
+                each = [packed(ids[a:b], final[a:b]) for a, b in zip(places, places[1:])]
+                seen = np.repeat(learnt, np.diff(places))
+                positions += np.bincount(ids[seen].astype(np.int64) + final[seen] * FINAL, minlength=2 * FINAL)
+            else:
+                own = coder.codes(found, begins[first], ends[first], data)
+                codes = own[of]
+                each = [codes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             counted.add(found, own, np.bincount(of[training], minlength=len(found)))
             none = [pa.nulls(part.num_rows, pa.int64())] * 3
-            each = pa.array([codes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:4]), each, *none], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:4]), pa.array(each, pa.binary()), *none], names)
             if counted.size > COUNTED:
                 yield out()
                 counted = Counted()
         if counted.parts:
             yield out()
+        at = np.flatnonzero(positions)
+        none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(positions[at])], names)
 
     return rows.mapInArrow(run, CODES)
 
@@ -204,6 +298,8 @@ def steps_of(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def word_codes(known: attention.Vocabulary, part: pa.RecordBatch) -> list[np.ndarray]:
+    if isinstance(known, Subwords):
+        return [known.of.take(unpacked(c)) for c in part.column("codes").to_pylist()]
     return [known.codes(np.frombuffer(c, np.uint32).astype(np.int64)) for c in part.column("codes").to_pylist()]
 
 
@@ -234,9 +330,10 @@ def trained(texts: DataFrame, words: int, known, share: np.ndarray) -> dict[str,
     return attention.unflat(model)
 
 
-def score(docs: DataFrame, vocabulary: str) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
+    subwords makes every subword id a position of the attention model; else each word is one.
     A null text counts as empty: its one token is the end. score is the log10 probability that the
     model gives to the text's words and the end. Rows that repeat id and text get
     the same answer, and are all learnt from. A null doc_id belongs to the fold of the empty string.
@@ -244,8 +341,8 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     training documents every word is unknown and N and V are 0.
     """
     context = docs.sparkSession.sparkContext
-    both = written(coded(docs, vocabulary), "coded")
-    texts = both.where("word is null")
+    both = written(coded(docs, vocabulary, subwords), "coded")
+    texts = both.where("key is not null")
     counts = written(both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.min("code").alias("code")).where("n > 0"), "word-counts")
     n_docs = texts.where("training").count()
     sizes = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -262,11 +359,18 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     words, logs = frequent.column("word").to_numpy().view(np.uint64), np.log10(frequent.column("n").to_numpy().astype(float) + 1)
     order = np.argsort(words)
     table = context.broadcast((words[order], logs[order]))
-    known = context.broadcast(classes_from(counts))
-    words_in, kinds_in = class_counts(counts, known)
+    if subwords:
+        positions = np.zeros(2 * FINAL)
+        for r in both.where("key is null and word is null").groupBy("code").agg(F.sum("n").alias("n")).collect():  # 131,072 rows at most
+            positions[r["code"]] = r["n"]
+        classes = Subwords(positions, coder_of(vocabulary).ids_of.tokenizer.get_vocab_size())
+        known, words_in, kinds_in, n_targets = context.broadcast(classes), classes.n_in, classes.kinds_in, int(positions.sum())
+    else:
+        known, n_targets = context.broadcast(classes_from(counts)), n_words
+        words_in, kinds_in = class_counts(counts, known)
     words_in[attention.END], kinds_in[attention.END] = n_docs, n_docs > 0
     share = (words_in + 1) / (words_in + 1).sum()
-    model, below = context.broadcast(trained(texts, n_words, known, share)), np.log10(words_in + kinds_in + 1)
+    model, below = context.broadcast(trained(texts, n_targets, known, share)), np.log10(words_in + kinds_in + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory_kept()
@@ -293,7 +397,11 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
                 logs_e = attention.log_probabilities(p, x[own], y[own], begins[own])[back:]
                 sums[1 + at : 1 + at + len(logs_e)] = logs_e.sum(1, dtype=np.float64)
             sums = np.cumsum(sums)
-            within = per_text(below.take(np.concatenate(codes) >> 32)) + below[attention.END]
+            if subwords:
+                shares = np.concatenate([[0.0], np.cumsum(known.value.logs.take(np.concatenate([unpacked(c) for c in part.column("codes").to_pylist()])))])
+                within = -np.diff(shares[np.concatenate([[0], np.cumsum([len(c) for c in codes])])])
+            else:
+                within = per_text(below.take(np.concatenate(codes) >> 32)) + below[attention.END]
             scores = (sums[first[1:]] - sums[first[:-1]]) / np.log(10) - within
             arrays = [pa.array(c) for c in (n_words, n_known, base, scores)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *arrays, rest], ["doc_id", "key", "n_words", "n_known", "base", "score", "rest"])
@@ -308,5 +416,5 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     return named.select(
         "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), tokens.alias("n_tokens"),
         (F.col("n_known") + F.coalesce("more_known", F.lit(0)) + int(n_docs > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (top - tokens * float(np.log10(total + kinds + 1))).alias("base_score"), (top + F.col("score")).alias("score"),
+        (top - tokens * float(np.log10(total + kinds + 1))).alias("base_score"), (F.col("score") if subwords else top + F.col("score")).alias("score"),
     )
