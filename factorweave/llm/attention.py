@@ -13,6 +13,7 @@ context.
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import as_strided
 
 STRIDE, WIDTH, HIDDEN = 16, 16, 32
 #: Input classes of subword ids and how many of them rare ids share; words, and classes by last id, that are predicted; how many of those rare ids share.
@@ -110,121 +111,130 @@ def blocked(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return x.reshape(-1, STRIDE, 2), y.reshape(-1, STRIDE), begins, first
 
 
-def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(x - shift) of each row in place of x, its sum, and shift: 0 unless that would leave the range of numbers."""
+def exponentials(x: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - shift) of each row, its sum weighted by weights, and shift: 0 unless sums would come near the range of numbers."""
+    weights = np.ones(x.shape[-1], x.dtype) if weights is None else weights
     with np.errstate(over="ignore"):
         own = np.exp(x)
-    total = own @ np.ones(x.shape[-1], x.dtype)
-    if np.isfinite(total).all() and total.min(initial=1) > 1e-30:
+    total = own @ weights
+    if total.min(initial=1) > 1e-20 and total.max(initial=1) < 1e20:
         return own, total, 0.0
     shift = x.max(-1)
     own = np.exp(x - shift[..., None])
-    return own, own.sum(-1), shift
+    return own, own @ weights, shift
 
 
-def attend(q: np.ndarray, k: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Weights of each query, already scaled, on its keys."""
-    scores = q @ k.transpose(0, 2, 1)
-    scores += BIAS
-    scores[begins, :, :STRIDE] = NEVER  # nothing stands before a text
-    scores, total, _ = exponentials(scores)
-    scores *= (1 / total)[..., None]
-    return scores
-
-
-def with_before(rows: np.ndarray) -> np.ndarray:
-    """Each block's keys: the block before and itself."""
-    before = np.empty_like(rows)
-    before[1:], before[0] = rows[:-1], rows[0]
-    return np.concatenate([before, rows], axis=1)
-
-
-def projected(e: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """e @ w as one product of all rows, not one for each block."""
-    return (e.reshape(-1, WIDTH) @ w).reshape(e.shape)
+def with_before(e: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """e @ w of each block's keys, the block before and itself; a view, as each block's rows are used twice. Nothing is before the first."""
+    rows = np.empty((STRIDE + len(e), WIDTH), e.dtype)
+    rows[:STRIDE] = 0
+    np.matmul(e, w, out=rows[STRIDE:])
+    return as_strided(rows, (len(e) // STRIDE, 2 * STRIDE, WIDTH), (STRIDE * rows.strides[0], *rows.strides), writeable=False)
 
 
 def folded(rows: np.ndarray) -> np.ndarray:
-    """What with_before() has spread, added up again per block."""
+    """What with_before() has spread, added up again per position."""
     out = rows[:, STRIDE:].copy()
     out[:-1] += rows[1:, :STRIDE]
-    out[:1] += rows[:1, :STRIDE]
-    return out
+    return out.reshape(-1, WIDTH)
+
+
+def attend(q: np.ndarray, k: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of each query, already scaled, on its keys, and what they have to be divided by."""
+    scores = q @ k.transpose(0, 2, 1)
+    scores += BIAS
+    scores[begins, :, :STRIDE] = NEVER  # nothing stands before a text
+    return exponentials(scores)[:2]
 
 
 def read(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    out = p["E"].take(x[..., 0], axis=0)
-    out += p["L"].take(x[..., 1], axis=0)
+    out = p["E"].take(x[..., 0].ravel(), axis=0)
+    out += p["L"].take(x[..., 1].ravel(), axis=0)
     return out
 
 
+def class_weights(p: dict[str, np.ndarray], logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(c) to weigh exponentials by, so that c is not added to all logits, and c for the logits that are looked up; where c is too uneven for that, logits get it."""
+    c = p["c"] - p["c"].max()
+    if c.min() < -30:
+        logits += c
+        c = np.zeros_like(c)
+    return np.exp(c), c
+
+
 def log_probabilities(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, 0 where there is none."""
     e = read(p, x)
-    weights = attend(projected(e, p["Q"] * SCALE), with_before(projected(e, p["K"])), begins)
-    z = e.reshape(-1, WIDTH) + (weights @ with_before(projected(e, p["V"]))).reshape(-1, WIDTH) @ p["O"]
+    weights, total = attend((e @ (p["Q"] * SCALE)).reshape(-1, STRIDE, WIDTH), with_before(e, p["K"]), begins)
+    h = weights @ with_before(e, p["V"])
+    h /= total[..., None]
+    z = h.reshape(-1, WIDTH) @ p["O"]
+    z += e
     hidden = z @ p["W1"]
     hidden += p["b1"]
     np.maximum(hidden, 0, out=hidden)
     z += hidden @ p["W2"]
     logits = z @ p["U"]
-    logits += p["c"]
+    by_class, c = class_weights(p, logits)
     target = y.ravel()
-    wanted = logits[np.arange(len(target)), np.maximum(target, 0)]
-    _, total, shift = exponentials(logits)
+    of = np.maximum(target, 0)
+    wanted = logits.ravel().take(np.arange(0, logits.size, OUTPUTS) + of) + c.take(of)
+    _, total, shift = exponentials(logits, by_class)
     return np.where(target >= 0, wanted - shift - np.log(total), 0).reshape(y.shape)
 
 
+#: Where the rows of E and L are in the arrays as vectors.
+PLACES = np.arange((INPUTS + 1) * WIDTH).reshape(-1, WIDTH)
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, begins: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the targets and its gradients."""
-    d = WIDTH
-    two = lambda t: t.reshape(-1, d)
+    two = lambda t: t.reshape(-1, WIDTH)
     ex = read(p, x)
-    q, k, v = projected(ex, p["Q"] * SCALE), with_before(projected(ex, p["K"])), with_before(projected(ex, p["V"]))
-    a = attend(q, k, begins)
+    q, k, v = (ex @ (p["Q"] * SCALE)).reshape(-1, STRIDE, WIDTH), with_before(ex, p["K"]), with_before(ex, p["V"])
+    a, total = attend(q, k, begins)
+    a *= (1 / total)[..., None]
     h = two(a @ v)
     z = h @ p["O"]
-    z += two(ex)
+    z += ex
     r = z @ p["W1"]
     r += p["b1"]
     np.maximum(r, 0, out=r)
     m = r @ p["W2"]
     m += z
     logits = m @ p["U"]
-    logits += p["c"]
-    g, total, _ = exponentials(logits)
+    by_class, _ = class_weights(p, logits)
+    g, total, _ = exponentials(logits, by_class)
     target = y.ravel()
     there = target >= 0
-    wanted, at = np.maximum(target, 0), np.arange(len(target))
-    n = max(1, int(there.sum()))
-    loss = -float(np.log(np.maximum(g[at, wanted] / total, 1e-20)) @ there) / n
-    share = there.astype(g.dtype) / g.dtype.type(n)  # of each position in the mean
-    g *= (share / total)[:, None]
-    g[at, wanted] -= share
-    ones = np.ones(len(g), g.dtype)
-    out = {"U": m.T @ g, "c": ones @ g}
-    dz = g @ p["U"].T
+    of = np.maximum(target, 0)
+    n, at, each = max(1, int(there.sum())), np.arange(0, g.size, OUTPUTS) + of, g.ravel()
+    wanted, weight = each.take(at), by_class.take(of)
+    loss = -float(np.log(np.maximum(wanted * weight / total, 1e-20)) @ there) / n
+    each[at] = wanted - total / weight  # a row of g is its gradient now, but for by_class and the position's share
+    share = (there / (total * n)).astype(g.dtype)
+    out = {"U": (m * share[:, None]).T @ g * by_class, "c": share @ g * by_class}
+    dz = g @ (p["U"] * by_class).T
+    dz *= share[:, None]
     dr = dz @ p["W2"].T
     dr *= r > 0
-    out |= {"W2": r.T @ dz, "W1": z.T @ dr, "b1": ones @ dr}
+    out |= {"W2": r.T @ dz, "W1": z.T @ dr, "b1": np.ones(len(dr), dr.dtype) @ dr}
     dz += dr @ p["W1"].T
     out["O"] = h.T @ dz
-    dh = (dz @ p["O"].T).reshape(q.shape)
+    dh = dz @ p["O"].T
+    along = np.einsum("ij,ij->i", dh, h).reshape(-1, STRIDE, 1)
+    dh = dh.reshape(q.shape)
     ds = dh @ v.transpose(0, 2, 1)
-    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds -= along
     ds *= a
-    dq, dk, dv = two(ds @ k), two(folded(ds.transpose(0, 2, 1) @ q)), two(folded(a.transpose(0, 2, 1) @ dh))
-    dq *= SCALE
-    out |= {"Q": two(ex).T @ dq, "K": two(ex).T @ dk, "V": two(ex).T @ dv}
-    dz += dq @ p["Q"].T
+    dq, dk, dv = two(ds @ k), folded(ds.transpose(0, 2, 1) @ q), folded(a.transpose(0, 2, 1) @ dh)
+    out |= {"Q": ex.T @ dq * SCALE, "K": ex.T @ dk, "V": ex.T @ dv}
+    dz += dq @ (p["Q"] * SCALE).T
     dz += dk @ p["K"].T
     dz += dv @ p["V"].T
-    for name, of in (("E", x[..., 0].ravel()), ("L", x[..., 1].ravel())):
-        order = np.argsort(of)
-        ids = of[order]
-        first = np.flatnonzero(np.concatenate([ids[:1] >= 0, ids[1:] != ids[:-1]]))
+    for name, of in (("E", x[..., 0]), ("L", x[..., 1])):
         out[name] = np.zeros(p[name].shape, dz.dtype)
-        out[name][ids[first]] = np.add.reduceat(dz[order], first, axis=0)
+        np.add.at(out[name].ravel(), PLACES.take(of.ravel(), axis=0).ravel(), dz.ravel())
     return loss, out
 
 
@@ -241,13 +251,13 @@ class Adam:
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.steps += 1
         root = (1 - 0.99**self.steps) ** 0.5
-        rate, least = self.rate * root / (1 - 0.9**self.steps), 1e-8 * root
+        # m and v are kept as 10 and 100 times what they are
+        rate, least = self.rate * root / (1 - 0.9**self.steps), 1e-7 * root
         x, m, v = np.concatenate([g[k].ravel() for k in self.names]), self.m, self.v
         m *= 0.9
-        m += 0.1 * x
+        m += x
         v *= 0.99
         x *= x
-        x *= 0.01
         v += x
         np.sqrt(v, out=x)
         x += least

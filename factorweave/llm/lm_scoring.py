@@ -2,9 +2,10 @@
 
 Both learn from the documents whose crc32(doc_id) mod 7 is not 2, all of them and whole:
 
-- One pass encodes every text and counts the training words; texts and codes are written, so nothing
-  is tokenised twice. The counts give the base model and, through the subword ids of each different
-  word, the classes of the attention model.
+- One pass encodes every text and counts the training words; codes are written, so nothing is
+  tokenised twice, and texts are read from the table again, so that no copy of them is written. The
+  counts give the base model and, through the subword ids of each different word, the classes of the
+  attention model.
 - The attention model is trained for one epoch in ``PHASES`` phases. A phase takes a share of the
   training documents, dealt to shards and ordered by a hash of id and text, so that the model does not
   depend on how the table is laid out. A shard trains its copy of the model on every block of its
@@ -20,8 +21,9 @@ to one. Otherwise a position is a word, read through its first and last id only.
 The model's probability of a word is then that of its class from the attention model times the word's
 share of the class, (c + 1) / (N + V + 1) with the class's own N and V.
 
-Scoring goes over whole texts in blocks of overlapping windows. Words too rare for the table that
-tasks hold get their counts by a join. The broadcast table has at most ``FREQUENT`` words. Words are
+Scoring goes over the codes of whole texts in blocks of overlapping windows; the base goes over their
+words, and both meet by id and hash of the text. Words too rare for the table that tasks hold get
+their counts by a join. The broadcast table has at most ``FREQUENT`` words. Words are
 told apart by 64-bit hashes, made for a whole batch of texts at once.
 """
 
@@ -198,16 +200,21 @@ class Counted:
         return found, codes[first], np.bincount(of, n, len(found)).astype(np.int64)
 
 
-CODES = "doc_id long, key long, training boolean, text binary, codes binary, word long, code long, n long"
+CODES = "doc_id long, key long, training boolean, codes binary, word long, code long, n long"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, key, text); doc_id and key, a hash of id and text, tell rows with other ids or texts apart."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_bytes()).alias("key"), text_bytes().alias("text"))
 
 
 def coded(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame:
-    """A row for each row of docs with its text and its words' codes, and rows (word, code, n) of the training words that a task has counted; word is a hash.
+    """A row for each row of docs with its words' codes, and rows (word, code, n) of the training words that a task has counted; word is a hash.
 
     With subwords, codes are the packed positions, and rows (code, n) without a word count them.
     """
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text_bytes()).alias("key"), (fold(F.col("doc_id")) != HELD_OUT).alias("training"), text_bytes().alias("text"))
+    rows = keyed(docs).select("doc_id", "key", (fold(F.col("doc_id")) != HELD_OUT).alias("training"), "text")
     names = [x.split()[0] for x in CODES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +224,7 @@ def coded(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame
 
         def out() -> pa.RecordBatch:
             hashes, codes, n = counted.total()
-            none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())]
+            none = [pa.nulls(len(n), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array(hashes.view(np.int64)), pa.array(codes.astype(np.int64)), pa.array(n)], names)
 
         for part in groups_by_bytes(batches, "text"):
@@ -239,14 +246,14 @@ def coded(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame
                 each = [codes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             counted.add(found, own, np.bincount(of[training], minlength=len(found)))
             none = [pa.nulls(part.num_rows, pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:4]), pa.array(each, pa.binary()), *none], names)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(each, pa.binary()), *none], names)
             if counted.size > COUNTED:
                 yield out()
                 counted = Counted()
         if counted.parts:
             yield out()
         at = np.flatnonzero(positions)
-        none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())]
+        none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(positions[at])], names)
 
     return rows.mapInArrow(run, CODES)
@@ -297,10 +304,14 @@ def steps_of(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield x[own], targets, begins[own], len(targets) - back
 
 
-def word_codes(known: attention.Vocabulary, part: pa.RecordBatch) -> list[np.ndarray]:
-    if isinstance(known, Subwords):
-        return [known.of.take(unpacked(c)) for c in part.column("codes").to_pylist()]
-    return [known.codes(np.frombuffer(c, np.uint32).astype(np.int64)) for c in part.column("codes").to_pylist()]
+def numbers(known: attention.Vocabulary, part: pa.RecordBatch) -> list[np.ndarray]:
+    """The texts as numbers of their positions, or as first | last << 16 of their words' ids."""
+    read = unpacked if isinstance(known, Subwords) else lambda c: np.frombuffer(c, np.uint32).astype(np.int64)
+    return [read(c) for c in part.column("codes").to_pylist()]
+
+
+def word_codes(known: attention.Vocabulary, texts: list[np.ndarray]) -> list[np.ndarray]:
+    return [known.of.take(t) if isinstance(known, Subwords) else known.codes(t) for t in texts]
 
 
 def trained(texts: DataFrame, words: int, known, share: np.ndarray) -> dict[str, np.ndarray]:
@@ -316,7 +327,7 @@ def trained(texts: DataFrame, words: int, known, share: np.ndarray) -> dict[str,
             p = attention.unflat(start.value)
             adam, seen = attention.Adam(p, RATE / (1 + phase)), 0
             for part in groups_by_bytes(batches, "codes", CUT):
-                for x, y, begins, blocks in steps_of(word_codes(known.value, part)):
+                for x, y, begins, blocks in steps_of(word_codes(known.value, numbers(known.value, part))):
                     adam.step(attention.gradients(p, x, y, begins)[1])
                     seen += blocks
             if seen:
@@ -337,7 +348,7 @@ def score(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame
     A null text counts as empty: its one token is the end. score is the log10 probability that the
     model gives to the text's words and the end. Rows that repeat id and text get
     the same answer, and are all learnt from. A null doc_id belongs to the fold of the empty string.
-    Columns other than doc_id and text are not read. An empty table gives an empty result; without
+    Columns other than doc_id and text are not read; docs is read twice and has to give the same rows. An empty table gives an empty result; without
     training documents every word is unknown and N and V are 0.
     """
     context = docs.sparkSession.sparkContext
@@ -372,9 +383,9 @@ def score(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame
     share = (words_in + 1) / (words_in + 1).sum()
     model, below = context.broadcast(trained(texts, n_targets, known, share)), np.log10(words_in + kinds_in + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory_kept()
-        (frequent, logs), p = table.value, model.value
+        frequent, logs = table.value
         for part in groups_by_bytes(batches, "text", 1 << 20):
             hashes, bounds = hashed_words(lowered(part))
             different, of = np.unique(hashes, return_inverse=True)
@@ -384,11 +395,18 @@ def score(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame
             value = np.zeros(len(different))
             value[there] = logs[place[there]]
             per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[bounds])
-            base, n_known, n_words = per_text(value[of]), per_text(there[of].astype(np.int64)), np.diff(bounds)
             unknown = ~there[of]
             offsets = np.concatenate([[0], np.cumsum(unknown)])[bounds]
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[unknown].view(np.int64)))
-            codes = word_codes(known.value, part)
+            arrays = [pa.array(c) for c in (np.diff(bounds), per_text(there[of].astype(np.int64)), per_text(value[of]))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *arrays, rest], ["doc_id", "key", "n_words", "n_known", "base", "rest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory_kept()
+        p = model.value
+        for part in groups_by_bytes(batches, "codes", 2 * CUT):
+            read = numbers(known.value, part)
+            codes = word_codes(known.value, read)
             x, y, begins, first = attention.blocked(codes)
             sums = np.zeros(len(x) + 1)
             for at in range(0, len(x), BLOCKS - 1):  # one block more for its keys, scored with its own part
@@ -397,21 +415,18 @@ def score(docs: DataFrame, vocabulary: str, subwords: bool = False) -> DataFrame
                 logs_e = attention.log_probabilities(p, x[own], y[own], begins[own])[back:]
                 sums[1 + at : 1 + at + len(logs_e)] = logs_e.sum(1, dtype=np.float64)
             sums = np.cumsum(sums)
-            if subwords:
-                shares = np.concatenate([[0.0], np.cumsum(known.value.logs.take(np.concatenate([unpacked(c) for c in part.column("codes").to_pylist()])))])
-                within = -np.diff(shares[np.concatenate([[0], np.cumsum([len(c) for c in codes])])])
-            else:
-                within = per_text(below.take(np.concatenate(codes) >> 32)) + below[attention.END]
-            scores = (sums[first[1:]] - sums[first[:-1]]) / np.log(10) - within
-            arrays = [pa.array(c) for c in (n_words, n_known, base, scores)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *arrays, rest], ["doc_id", "key", "n_words", "n_known", "base", "score", "rest"])
+            inside = known.value.logs.take(np.concatenate(read)) if subwords else -below.take(np.concatenate(codes) >> 32)
+            shares = np.concatenate([[0.0], np.cumsum(inside)])[np.concatenate([[0], np.cumsum([len(t) for t in read])])]
+            scores = (sums[first[1:]] - sums[first[:-1]]) / np.log(10) + np.diff(shares) - (0.0 if subwords else below[attention.END])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(scores)], ["doc_id", "key", "score"])
 
-    scored = written(texts.select("doc_id", "key", "text", "codes").mapInArrow(run, "doc_id long, key long, n_words long, n_known long, base double, score double, rest array<long>"), "scored")
+    scored = written(keyed(docs).mapInArrow(base, "doc_id long, key long, n_words long, n_known long, base double, rest array<long>"), "scored")
+    by_model = texts.select("doc_id", "key", "codes").mapInArrow(run, "doc_id long, key long, score double").groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.min("score").alias("score"))
     rare = scored.select("key", F.explode("rest").alias("word")).join(counts.where(F.col("n") < least).select("word", "n"), "word")
     rare = rare.groupBy("key").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count(F.lit(1)).alias("more_known"))
     copies = scored.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     told = rare.join(copies, "key").select("key", (F.col("more") / F.col("copies")).alias("more"), (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"))
-    named = scored.drop("rest").join(told, "key", "left")
+    named = scored.drop("rest").join(told, "key", "left").join(by_model, F.col("key").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
     tokens, top = F.col("n_words") + 1, F.col("base") + F.coalesce("more", F.lit(0.0)) + float(np.log10(n_docs + 1))
     return named.select(
         "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), tokens.alias("n_tokens"),
